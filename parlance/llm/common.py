@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], limit: int, column: str) -> It
         if not batch.num_rows:
             continue
         values = batch.column(batch.schema.get_field_index(column))
-        sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(values), 0), dtype=np.int64)
+        sizes = np.array(pc.fill_null(pc.binary_length(values), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         start, base = 0, 0
         while start < batch.num_rows:
@@ -58,9 +59,8 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], limit: int, column: str) -> It
             start, base = stop, int(ends[stop - 1])
 
 
-def union_find(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest index of each one's component, for ``n`` items and links ``left[i] -- right[i]``."""
-    label = np.arange(n)
+def union_find(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest index of each one's component, after adding the links ``left[i] -- right[i]`` to those in ``label``."""
     while len(left):
         a, b = label[left], label[right]
         alive = a != b
@@ -85,7 +85,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     links = (
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .where(F.col("u").isNotNull() & F.col("v").isNotNull())
+        .where("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
@@ -104,7 +104,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         links = materialize(small.distinct(), "small")
-        state = links.agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.countDistinct("u").alias("d")).first()
+        state = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s"), F.countDistinct("u").alias("d")).first()
         if before == state and state["n"] == state["d"]:
             break
         before = state
@@ -116,9 +116,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def with_components(nodes: DataFrame, edges: DataFrame, node: str, value: str) -> DataFrame:
     """``nodes`` with ``component_id``: the smallest ``value`` among all rows whose ``node`` links reach.
 
-    ``nodes`` has any number of rows for a ``node``; ``edges`` has columns a and b over ``node`` values.
+    ``nodes`` may hold many rows of one ``node``; ``edges`` has columns a and b over ``node`` values.
     """
-    found = connected_components(edges)
-    rows = nodes.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
-    least = rows.groupBy("component").agg(F.min(value).alias("component_id"))
-    return rows.join(least, "component").drop("component")
+    found = connected_components(edges).withColumnRenamed("node", node)
+    classes = nodes.groupBy(node).agg(F.min(value).alias("least"))
+    classes = classes.join(found, node, "left").withColumn("component", F.coalesce("component", node))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    places = materialize(classes.join(least, "component").select(node, "component_id"), "components")
+    return nodes.join(places, node)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import language, packing, quality_classifier, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,35 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=4096)
 
 
+def _remainder(divisor: int):
+    """crc32 of doc_id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(_remainder(4) != 2).select("doc_id", "lang", "text"))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), bits=4, shingle=4)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, _table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    found = quality_classifier.score(docs, model)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op3_language_id": op3_language_id,
+    "op5_simhash_duplicates": op5_simhash_duplicates,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
