@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words.
@@ -44,6 +44,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_words(text) -> Column:
+    """The white-space-separated words of a text column, by Spark's own functions; none for null."""
+    bare = F.btrim(text, F.lit(SPACES))
+    return F.when(F.coalesce(F.length(bare), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], limit: int, column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of ``column``, a longer single row alone."""
     for batch in batches:
