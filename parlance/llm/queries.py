@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality_classifier, simhash, url_filter
+from . import language, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=4096)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def _remainder(divisor: int):
     """crc32 of doc_id as text, modulo."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
@@ -67,6 +71,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op5_simhash_duplicates": op5_simhash_duplicates,
     "op6_mix_sources": op6_mix_sources,
@@ -75,6 +80,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op8_url_filter": r"""
 WITH rules(host, path, verdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
