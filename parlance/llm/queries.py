@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
+from . import language, mixing, packing, quality_classifier, quality_rules, simhash, substrings, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
+
+
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_quality_rules": op2_quality_rules,
@@ -77,6 +81,7 @@ QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_url_filter": op8_url_filter,
+    "op10_remove_repeats": op10_remove_repeats,
 }
 
 ORACLES: dict[str, str] = {
