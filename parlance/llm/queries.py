@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality_classifier, quality_rules, simhash, substrings, url_filter
+from . import embedding_dedup, language, mixing, packing, quality_classifier, quality_rules, quotations, simhash, substrings, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op5_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), bits=4, shingle=4)
 
@@ -69,6 +73,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(_table(spark, sf_dir, "conversations"))
+
+
 def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
 
@@ -77,15 +85,18 @@ QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_embedding_duplicates": op4_embedding_duplicates,
     "op5_simhash_duplicates": op5_simhash_duplicates,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_url_filter": op8_url_filter,
+    "op9_quotation_links": op9_quotation_links,
     "op10_remove_repeats": op10_remove_repeats,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_quotation_links": quotations.ORACLE_SQL,
     "op8_url_filter": r"""
 WITH rules(host, path, verdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')

@@ -219,11 +219,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     starts in a document with a smaller doc_id go; stretches overlap, lie within one document, and are judged
     on the input. Rows of equal doc_id never cost each other a byte; repeated rows have equal results. Texts
     shorter than ``length`` stay whole. ``kept`` drops bytes of characters that were cut in two. doc_id must
-    not be null (such rows go by the smallest number). No rows give no rows.
+    not be null (such rows go by the smallest number). No rows give no rows. With ``with_text`` the other columns
+    of ``docs`` come along, under their names (which must not be those of the result).
     """
     if not 16 <= length <= 250:
         raise ValueError("length must be from 16 to 250 bytes")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id"), "text")
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
+    kinds = [docs.schema[c].dataType.simpleString() for c in extra]
+    carried = [f"x{i}" for i in range(len(extra))]
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id")
+    whole = docs.select(number, "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(extra, carried, strict=True)])
+    docs = whole.select("doc_id", "text")
     groups = _group_count(docs)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     records = docs.mapInArrow(parse, "bucket int, kind int, records binary")
     replies = materialize(records.groupBy("bucket").applyInArrow(_settle(groups, True), "g int, kind int, records binary"), "phrases")
     dealt = docs.select("doc_id", "text", group)
+    whole = whole.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
 
     def stretches(left: pa.Table, right: pa.Table) -> pa.Table:
         edges = _records(right.column("records").to_pylist(), PLACE)
@@ -305,11 +312,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
         if with_text:
             null = left.column("text").is_null().to_pylist()
             columns.append(pa.array([None if x else t.decode(errors="ignore") for x, t in zip(null, kept, strict=True)], pa.string()))
+            columns += [left.column(x) for x in carried]
         return pa.table(columns, names=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text + carried
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return dealt.groupBy("g").cogroup(covered.groupBy("g")).applyInArrow(cut, schema)
+    schema += "".join(f", {x} {kind}" for x, kind in zip(carried, kinds, strict=True))
+    out = whole.groupBy("g").cogroup(covered.groupBy("g")).applyInArrow(cut, schema)
+    return out.withColumnsRenamed(dict(zip(carried, extra, strict=True)))
 
 
 def _stretch_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
