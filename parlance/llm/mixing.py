@@ -50,7 +50,10 @@ def _multipliers(counts: DataFrame, most: float) -> DataFrame:
     rows = counts.where("size > 0").withColumns({"u": F.col("size") / F.col("mean"), "goal": F.col("target") / F.col("mean")})
     ceiling = F.log(F.lit(most))
     # at l = ln(most) * mean even a document of one word is at its most; at -60 * mean it is next to nothing
-    state = rows.groupBy("key").agg(F.lit(0.0).alias("l"), (-60.0 * F.max("mean")).alias("lo"), (ceiling * F.max("mean")).alias("hi"), F.lit(False).alias("done"))
+    # and that is the answer where the target is all that a source can give
+    full = F.max("target") >= most * F.sum(F.col("n") * F.col("size"))
+    top = ceiling * F.max("mean")
+    state = rows.groupBy("key").agg(F.when(full, top).otherwise(0.0).alias("l"), (-60.0 * F.max("mean")).alias("lo"), top.alias("hi"), full.alias("done"))
     state = materialize(state, "dual")
     for _ in range(STEPS):
         rate = F.least(F.lit(most), F.exp(F.least(F.lit(50.0), F.col("l") * F.col("u"))))
