@@ -33,7 +33,7 @@ from .common import arrow_rows, materialize
 BUFFER_BITS = 20
 COMBINED = 16 << 20
 #: Bytes of stored input for each group of documents and each group of triggers.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 
 RECORD = np.dtype([("trigger", "<u4"), ("low", "<u4"), ("high", "<u2"), ("doc", "<i8"), ("variant", "<u2"), ("start", "<u4"), ("count", "u1")])
 PLACE = np.dtype([("doc", "<i8"), ("variant", "<u2"), ("start", "<u4"), ("count", "u1")])
