@@ -50,6 +50,14 @@ def split_words(text) -> Column:
     return F.when(F.coalesce(F.length(bare), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows; beyond, Spark picks the join by sizes.
+
+    For written tables of short rows, whose rows are counted without computing them again.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], limit: int, column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of ``column``, a longer single row alone."""
     for batch in batches:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, split_words
+from .common import broadcast_if_small, materialize, split_words
 
 WEIGHTS = (3, 1, 2)
 STEPS = 40
@@ -95,8 +95,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     l = _multipliers(counts.select("key", "size", "n").join(goals.select("key", "target", "mean"), "key"), float(most))  # noqa: E741
     per_source = materialize(goals.join(l, "key", "left").withColumn("l", F.coalesce("l", F.lit(0.0))), "rates")
     shift = _shifts(_events(compact, per_source, most), per_source, most)
-    per_source = per_source.join(shift, "key", "left")
-    placed = sized.join(per_source.drop("source"), "key")
+    per_source = materialize(per_source.join(shift, "key", "left"), "shifts")
+    placed = sized.join(broadcast_if_small(per_source.drop("source")), "key")
     copies = sum((F.when(e < F.col("shift"), 1).otherwise(0) for e in _moments(most)), F.lit(0))
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(1))
     out = placed.withColumns({"copies": copies.cast("long"), "taken": (copies * F.col("size")).cast("long")})
@@ -115,7 +115,7 @@ def _moments(most: int) -> list:
 
 
 def _events(compact: DataFrame, per_source: DataFrame, most: int) -> DataFrame:
-    rows = compact.where("size > 0").join(per_source.select("key", "l", "mean"), "key")
+    rows = compact.where("size > 0").join(broadcast_if_small(per_source.select("key", "l", "mean")), "key")
     return materialize(rows.select("key", "size", F.explode(F.array(*_moments(most))).alias("at")), "events")
 
 
@@ -128,7 +128,7 @@ def _shifts(events: DataFrame, per_source: DataFrame, most: int) -> DataFrame:
     while width > 1:
         step = -(-width // PARTS)
         part = F.floor((F.col("at") - F.col("lo")) / step)
-        inside = events.join(state, "key").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("width")))
+        inside = events.join(broadcast_if_small(state), "key").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("width")))
         sums = inside.groupBy("key", "target", "lo", "base", part.alias("part")).agg(F.sum("size").alias("words"))
         run = sums.withColumn("after", F.col("base") + F.sum("words").over(by_part)).withColumn("before", F.col("after") - F.col("words"))
         # the part in which the words reach the target, or else the last
@@ -136,6 +136,6 @@ def _shifts(events: DataFrame, per_source: DataFrame, most: int) -> DataFrame:
         state = chosen.select("key", "c.target", (F.col("c.lo") + F.col("c.part").cast("long") * step).alias("lo"), F.lit(step).cast("long").alias("width"), F.col("c.before").alias("base"))
         state = materialize(state, "shift")
         width = step
-    last = events.join(state, (events["key"] == state["key"]) & (events["at"] == state["lo"]), "right")
-    ends = last.groupBy(state["key"].alias("key"), "target", "lo", "base").agg((F.col("base") + F.coalesce(F.sum("size"), F.lit(0))).alias("after"))
+    last = events.withColumnRenamed("at", "lo").groupBy("key", "lo").agg(F.sum("size").alias("words"))
+    ends = state.join(last, ["key", "lo"], "left").withColumn("after", F.col("base") + F.coalesce("words", F.lit(0)))
     return ends.select("key", F.when(F.abs(F.col("after") - F.col("target")) < F.abs(F.col("base") - F.col("target")), F.col("lo") + 1).otherwise(F.col("lo")).alias("shift"))
