@@ -27,9 +27,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, and of repeated rows, the document with the smallest doc_id stays."""
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    return kept.select(*COLUMNS).dropDuplicates(["doc_id"])
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")).alias("key")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    # the join deals by key, and so does the removal of repeated rows: the texts are shuffled once
+    kept = docs.select(key, *COLUMNS).join(first, "key", "left_semi")
+    return kept.dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -58,6 +59,15 @@ def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release() -> None:
+    """Give a worker's freed memory back, so that workers that outlive their task do not hold what it needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], limit: int, column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of ``column``, a longer single row alone."""
     for batch in batches:
@@ -71,6 +81,7 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], limit: int, column: str) -> It
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, base = stop, int(ends[stop - 1])
+    release()
 
 
 def union_find(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -33,9 +33,9 @@ NEARLY_FULL = 8
 #: A sequence's number: 4 bits of level, 24 of node, 35 of its place in the node.
 NODE_BITS, PLACE_BITS = 24, 35
 #: Words whose ids a worker remembers; beyond it starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 #: The same for words without the marks that end them.
-CACHED_STEMS = 1_500_000
+CACHED_STEMS = 500_000
 #: Marks at a word's end that the pre-tokenizer parts from the letters before them.
 TAILS = ".,!*$#%&"
 #: Letters whose lower case is one letter too and that no normalization changes.

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize
+from .common import arrow_rows, materialize, release
 
 #: Bytes of text that are hashed at once, and that are combined before records leave a task.
-BUFFER_BITS = 20
-COMBINED = 16 << 20
+BUFFER_BITS = 19
+COMBINED = 5 << 20
 #: Bytes of stored input for each group of documents and each group of triggers.
 GROUP_BYTES = 2 << 20
 
@@ -196,6 +196,7 @@ def _settle(groups: int, edges: bool) -> Callable:
                 doubtful = out[~late & (items > 1)[group] & (most > least)[group]]
         done = np.concatenate(covered)
         rows_out = [*_blobs(document_group(done["doc"], groups), done, COVERED), *_blobs(document_group(doubtful["doc"], groups), doubtful, EDGE)]
+        release()
         return pa.Table.from_batches([_batch(rows_out, "g")])
 
     return settle
@@ -313,6 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
             null = left.column("text").is_null().to_pylist()
             columns.append(pa.array([None if x else t.decode(errors="ignore") for x, t in zip(null, kept, strict=True)], pa.string()))
             columns += [left.column(x) for x in carried]
+        release()
         return pa.table(columns, names=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text + carried
