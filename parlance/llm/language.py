@@ -62,15 +62,15 @@ def fit_spectra(flags: np.ndarray, langs: list[str]) -> Model:
     """Nystrom kernel ridge regression over presence rows; deterministic in their order."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
-    x = flags.astype(np.float64)
-    root = np.sqrt(np.maximum(x.sum(1), 1))
+    root = np.sqrt(np.maximum(flags.sum(1, dtype=np.int64), 1))
     each = max(1, LANDMARKS // len(names))
     marks = np.sort(np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(names))]))
-    landmark = x[marks] / root[marks, None]
+    landmark = flags[marks] / root[marks, None]
     values, vectors = np.linalg.eigh(landmark @ landmark.T)
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    z = (x / root[:, None]) @ landmark.T @ whiten
+    # by parts: the sample's rows are wide, and wider still as floats
+    z = np.concatenate([(flags[i : i + 128] / root[i : i + 128, None]) @ landmark.T for i in range(0, len(flags), 128)]) @ whiten
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = 1 / np.bincount(y, minlength=len(names))[y]  # every language counts alike
     weight /= weight.sum()
