@@ -21,7 +21,7 @@ from .common import arrow_rows
 
 #: The fit's bounds: rows of either label (half for dictionaries, half for calibration), bytes of a sampled
 #: text (longer ones teach nothing), bytes of a dictionary, and the compression level.
-SAMPLE, SAMPLED_BYTES, DICTIONARY, LEVEL = 3000, 100_000, 112_640, 3
+SAMPLE, SAMPLED_BYTES, DICTIONARY, LEVEL = 3000, 30_000, 112_640, 3
 
 
 @dataclass(frozen=True)
