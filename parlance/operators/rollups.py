@@ -56,16 +56,23 @@ def article_hotelling_t2(mentions: DataFrame, moments: DataFrame, ridge: float =
     return out.where(F.col("entities") >= least)
 
 
-def t2_percentile(scored: DataFrame) -> DataFrame:
+def t2_percentile(scored: DataFrame, parts: int = 128) -> DataFrame:
     """Percent rank of each article's T2 among all.
 
-    Ranks come from a histogram over distinct rounded values, so the window runs over value counts, not articles.
+    Values are parted at approximate quantiles, so equal ones stay together; a rank is the count of all lower
+    parts and the rank in its own, and no window holds more than a part.
     """
-    values = scored.withColumn("t2", r6("t2")).groupBy("t2").agg(F.count("*").alias("same"))
-    everyone = Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum("same").over(everyone.orderBy("t2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select("t2", (F.try_divide(below * 100.0, F.sum("same").over(everyone) - 1)).alias("percentile"))
-    return scored.withColumn("t2", r6("t2")).join(ranks, "t2").select("article_id", "t2", "entities", F.coalesce("percentile", F.lit(0.0)).alias("percentile"))
+    rows = scored.withColumn("t2", r6("t2"))
+    bounds = rows.agg(F.percentile_approx("t2", [i / parts for i in range(1, parts)], 10_000).alias("bounds"))
+    rows = rows.withColumn("one", F.lit(1)).join(bounds.withColumn("one", F.lit(1)), "one")
+    part = F.coalesce(F.size(F.filter("bounds", lambda x: x < F.col("t2"))), F.lit(0))
+    rows = rows.withColumn("part", part).drop("one", "bounds")
+    order = Window.orderBy("part").partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, -1)
+    below = rows.groupBy("part").agg(F.count("*").alias("k")).withColumns({"below": F.coalesce(F.sum("k").over(order), F.lit(0)), "all": F.sum("k").over(Window.partitionBy(F.lit(0)))})
+    rank = F.rank().over(Window.partitionBy("part").orderBy("t2")) - 1
+    rows = rows.withColumn("rank", rank).join(below, "part")
+    percentile = F.try_divide((F.col("below") + F.col("rank")) * 100.0, F.col("all") - 1)
+    return rows.select("article_id", "t2", "entities", F.coalesce(percentile, F.lit(0.0)).alias("percentile"))
 
 
 def coverage(rollup: DataFrame) -> DataFrame:

@@ -87,19 +87,27 @@ def _dot(x, y):
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
     """The ``k`` most similar other vectors of each query; a zero vector is similar to nothing (0).
 
-    ``queries`` is a stated set of ids: their vectors are sent to the others, so it must be small; the window
-    keeps ``k`` rows of each query and task before it shuffles.
+    ``queries`` is a stated set of ids. Up to ``block`` of them are broadcast; more are dealt to blocks, which
+    the vectors meet one by one in a join on the block. The window keeps ``k`` rows of a query before it shuffles.
     """
     norm = lambda v: F.sqrt(_dot(v, v))
     rows = vectors.select(key, F.col(vector).alias("v"), norm(F.col(vector)).alias("norm"))
     asked = rows.join(queries.select(key), key, "left_semi").select(F.col(key).alias("query"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
+    n = queries.count()
+    if n <= block:
+        pairs = rows.join(F.broadcast(asked), F.col(key) != F.col("query"))
+    else:
+        blocks = -(-n // block)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+        met = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = met.join(asked, "block").where(F.col(key) != F.col("query"))
     size = F.col("norm") * F.col("q_norm")
     cosine = F.coalesce(F.try_divide(_dot(F.col("v"), F.col("q")), F.when(size > 0, size)), F.lit(0.0))
-    pairs = rows.join(F.broadcast(asked), F.col(key) != F.col("query")).select("query", key, F.round(cosine, 6).alias("cosine"))
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
+    pairs = pairs.select("query", key, F.round(cosine, 6).alias("cosine"))
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

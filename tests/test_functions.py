@@ -141,3 +141,12 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     for run in range(2):
         jobs.ingest(spark.readStream.schema(schema).parquet(source), table, rejects, kept, str(tmp_path / f"c{run}")).awaitTermination()
     assert spark.read.parquet(table).count() == 1
+
+
+def test_neighbours_in_blocks_are_the_same(spark):
+    from parlance.operators import similarity
+
+    rows = spark.range(60).selectExpr("id vec_id", "transform(sequence(1, 6), i -> double((id * i * 7) % 11) - 5) embedding")
+    queries = rows.where("vec_id % 7 = 0").select("vec_id")
+    one = similarity.cosine_neighbours(rows, queries).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, similarity.cosine_neighbours(rows, queries, block=2).collect())) and len(one) == 45
