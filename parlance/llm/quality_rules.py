@@ -19,10 +19,11 @@ from .common import materialize, split_words
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 #: Documents that a group needs for thresholds of its own, and quartile ranges beyond a quartile that reject.
 MIN_GROUP, REACH = 50, 8
-#: Measures: numerator, scale, denominator, least quartile range, and whether low values reject too.
+#: Measures: numerator, scale, denominator, least quartile range, and whether low values reject too. A group
+#: without repeats gets a fence for them just beyond the base rule, which clean texts with one doubled line pass.
 MEASURES = {
     "symbols": ("n_symbols", 1000, "n_words", 25, False),
-    "repeats": ("n_repeat_words", 1000, "n_words", 25, False),
+    "repeats": ("n_repeat_words", 1000, "n_words", 38, False),
     "dup_lines": ("n_dup_lines", 1000, "n_lines", 60, False),
     "word_length": ("word_chars", 100, "n_words", 50, True),
 }
@@ -168,7 +169,7 @@ WITH base AS (
   SELECT level, lang, source, metric, max(total) AS total, min(bucket) FILTER (WHERE 4 * below >= total) AS q1, min(bucket) FILTER (WHERE 4 * below >= 3 * total) AS q3
   FROM summed GROUP BY level, lang, source, metric
 ), fences AS (
-  SELECT *, {REACH} * greatest(q3 - q1, CASE metric WHEN 'symbols' THEN 25 WHEN 'repeats' THEN 25 WHEN 'dup_lines' THEN 60 ELSE 50 END) AS reach FROM quarts
+  SELECT *, {REACH} * greatest(q3 - q1, CASE metric WHEN 'symbols' THEN 25 WHEN 'repeats' THEN 38 WHEN 'dup_lines' THEN 60 ELSE 50 END) AS reach FROM quarts
 ), far AS (
   SELECT v.rid, bool_or(v.v > f.q3 + f.reach OR (v.metric = 'word_length' AND v.v < f.q1 - f.reach)) AS far
   FROM values_ v
