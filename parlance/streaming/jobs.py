@@ -96,3 +96,47 @@ def run_to_table(rows: DataFrame, name: str, checkpoint: str, mode: str = "appen
     query = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return rows.sparkSession.table(name)
+
+
+def trailing_stats(rows: DataFrame, width: str = "7 days", slide: str = "1 day", late: str = "14 days", key: str = "event_type") -> DataFrame:
+    """Moments of each key over the trailing windows; state older than the watermark is dropped."""
+    out = rows.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), key)
+    out = out.agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
+    return out.select(F.col("w.end").alias("window_end"), key, "n", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+def upsert_to_table(rows: DataFrame, root: str, keys: list[str], checkpoint: str, view: str):
+    """Micro-batches of updates merged into a table by keys; every batch publishes a whole new version as ``global_temp.view``."""
+    from ..sources.writers import upsert
+
+    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = table_or_empty(spark, f"{root}/b-{number - 1}", schema)
+        upsert(before, batch, keys).write.mode("overwrite").parquet(f"{root}/b-{number}")
+        spark.read.schema(schema).parquet(f"{root}/b-{number}").createOrReplaceGlobalTempView(view)
+
+    return rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def decayed_sums(rows: DataFrame, scale_days: float = 14.0, late: str = "1 day") -> DataFrame:
+    """Exponentially decayed counts and sums of each user, kept in state and emitted with every batch."""
+    scale = scale_days * 86_400_000
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, weight, total = state.get if state.exists else (0, 0.0, 0.0)
+        seen = pd.concat(batches).sort_values(["ts", "event_id"])
+        for ts, value in seen[["ts", "value"]].itertuples(index=False):
+            now = int(ts.timestamp() * 1000)
+            if now >= at:
+                fade = 2.718281828459045 ** ((at - now) / scale) if weight else 0.0
+                at, weight, total = now, weight * fade + 1, total * fade + float(value)
+            else:  # late: it enters as faded as it would be by now
+                fade = 2.718281828459045 ** ((now - at) / scale)
+                weight, total = weight + fade, total + fade * float(value)
+        state.update((at, weight, total))
+        yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="ms"), weight, total)], columns=["user_id", "at", "weight", "total"])
+
+    watched = rows.where("value IS NOT NULL").withWatermark("ts", late).groupBy("user_id")
+    return watched.applyInPandasWithState(step, "user_id long, at timestamp, weight double, total double", "at long, weight double, total double", "update", GroupStateTimeout.NoTimeout)

@@ -150,3 +150,32 @@ def test_neighbours_in_blocks_are_the_same(spark):
     queries = rows.where("vec_id % 7 = 0").select("vec_id")
     one = similarity.cosine_neighbours(rows, queries).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, similarity.cosine_neighbours(rows, queries, block=2).collect())) and len(one) == 45
+
+
+def test_detection(spark):
+    rows = spark.createDataFrame([("https://www.bbc.co.uk/x", "T", "b"), ("https://a.example.com/x", "Story | The Daily", "b"), ("https://a.example.com/x", "T", "PARIS (Reuters) - It"), ("https://a.example.com/x", None, None)], "u string, t string, b string")
+    from pyspark.sql import functions as F
+
+    known = F.create_map(F.lit("bbc.co.uk"), F.lit("BBC"))
+    assert [r[0] for r in rows.select(text.detect_source("u", "t", "b", known)).collect()] == ["BBC", "The Daily", "Reuters", "Example"]
+    assert [r[0] for r in rows.select(text.is_news_site("u")).collect()] == [True, False, False, False]
+
+
+def test_streamed_state_equals_batch(spark, small, tmp_path):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from parlance.streaming import jobs
+
+    stats_ = jobs.trailing_stats(jobs.events(spark, small))
+    jobs.upsert_to_table(stats_, str(tmp_path / "t"), ["window_end", "event_type"], str(tmp_path / "c"), "trailing").awaitTermination()
+    batch = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = batch.groupBy(F.window("ts", "7 days", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.end", "event_type", "n")
+    assert sorted(tuple(r) for r in spark.table("global_temp.trailing").select("window_end", "event_type", "n").collect()) == sorted(tuple(r) for r in want.collect())
+    out = {r["user_id"]: r for r in jobs.run_to_table(jobs.decayed_sums(jobs.events(spark, small)), "decayed_test", str(tmp_path / "d"), "update").collect()}
+    rows = batch.select("user_id", "ts", "value").collect()
+    user = min(out)
+    last = max(r["ts"] for r in rows if r["user_id"] == user)
+    weight = sum(math.exp(-(last - r["ts"]).total_seconds() / (14 * 86400)) for r in rows if r["user_id"] == user)
+    assert out[user]["weight"] == pytest.approx(weight, rel=1e-6)
