@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows
+from .common import arrow_rows, release
 
 DIMENSIONS = 1 << 14
 #: The fit's bound: sampled rows of each language, and landmarks of all.
@@ -107,7 +107,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     if not found:
         return None
     flags = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8)).reshape(len(found), DIMENSIONS)
-    return fit_spectra(flags, [r["lang"] for r in found])
+    model = fit_spectra(flags, [r["lang"] for r in found])
+    del flags, found
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
