@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import archetype, divergence_term, guarded_r, score_bin
-from .rollups import PERIOD, between
+from .rollups import PERIOD, between, with_totals
 
 
 def trajectory(rollup: DataFrame, least: int = 3, band: float = 0.25) -> DataFrame:
@@ -42,8 +42,7 @@ def salience(mentions: DataFrame, country_a: str, country_b: str, least: int = 1
     """log2 ratio of an entity's shares (plus one) of two countries' mentions."""
     rows = mentions.where(F.col("country").isin(country_a, country_b))
     counts = rows.groupBy("entity_id").agg(F.count_if(F.col("country") == country_a).alias("a"), F.count_if(F.col("country") == country_b).alias("b"))
-    everyone = Window.partitionBy(F.lit(0))
-    counts = counts.withColumns({"all_a": F.sum("a").over(everyone), "all_b": F.sum("b").over(everyone)})
+    counts = with_totals(counts, all_a=F.sum("a"), all_b=F.sum("b"))
     ratio = ((F.col("a") + 1) / (F.col("all_a") + 1)) / ((F.col("b") + 1) / (F.col("all_b") + 1))
     return counts.where(F.col("a") + F.col("b") >= least).select("entity_id", "a", "b", F.log2(ratio).alias("asymmetry"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .entities import readings, summary, top
-from .rollups import PERIOD, between
+from .rollups import PERIOD, between, with_totals
 
 
 def source_detail(articles: DataFrame, mentions: DataFrame, source_id: int, limit: int = 10) -> DataFrame:
@@ -69,8 +69,7 @@ def agenda(mentions: DataFrame, start: str, end: str, broad: int = 3, limit: int
         F.countDistinct("country").alias("countries"), F.count("*").alias("sources"), F.sum("k").alias("mentions"),
         (F.sum("p") / F.sum("np")).alias("avg_power"), F.try_divide(F.sum("m"), F.sum("nm")).alias("avg_moral"),
     )
-    everyone = Window.partitionBy(F.lit(0))
-    rows = rows.withColumns({"broad_entities": F.count_if(F.col("countries") >= broad).over(everyone), "broad_mentions": F.sum(F.when(F.col("countries") >= broad, F.col("mentions"))).over(everyone)})
+    rows = with_totals(rows, broad_entities=F.count_if(F.col("countries") >= broad), broad_mentions=F.sum(F.when(F.col("countries") >= broad, F.col("mentions"))))
     return rows.orderBy(F.desc("countries"), F.desc("mentions"), "entity_id").limit(limit)
 
 

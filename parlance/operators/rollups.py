@@ -15,6 +15,12 @@ def complete(mentions: DataFrame) -> DataFrame:
     return mentions.dropna(subset=["power", "moral", "publish_date", "source_id"])
 
 
+def with_totals(rows: DataFrame, **totals) -> DataFrame:
+    """Columns with totals over all rows: one aggregated row joins back, so no task holds them all."""
+    one = rows.agg(*[c.alias(name) for name, c in totals.items()]).withColumn("_one", F.lit(1))
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+
+
 def between(rows: DataFrame, start: str | None = None, end: str | None = None, column: str = "publish_date") -> DataFrame:
     """Rows of the inclusive date range; an open end does not filter."""
     if start is not None:

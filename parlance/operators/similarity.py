@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import guarded_r, significance
+from .rollups import with_totals
 
 
 def pearson_pairs(cells: DataFrame, key: str = "source_id", item: str = "entity_id", value: str = "value", least: int = 10) -> DataFrame:
@@ -78,8 +79,8 @@ def ppmi(mentions: DataFrame, least: int = 15) -> DataFrame:
     counts = pairs.groupBy(F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b")).agg(F.count("*").alias("together"))
     margins = both_ways(counts).groupBy("a").agg(F.sum("together").alias("margin"))
     rows = counts.join(margins.withColumnRenamed("margin", "margin_a"), "a").join(margins.select(F.col("a").alias("b"), F.col("margin").alias("margin_b")), "b")
-    total = 2 * F.sum("together").over(Window.partitionBy(F.lit(0)))
-    pmi = F.log2(F.col("together").cast("double") * total / (F.col("margin_a").cast("double") * F.col("margin_b")))
+    rows = with_totals(rows, total=2 * F.sum("together"))
+    pmi = F.log2(F.col("together").cast("double") * F.col("total") / (F.col("margin_a").cast("double") * F.col("margin_b")))
     return rows.select("a", "b", "together", F.greatest(F.lit(0.0), pmi).alias("ppmi"))
 
 
