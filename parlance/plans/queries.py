@@ -371,7 +371,7 @@ lng AS (SELECT * FROM ser WHERE n >= 8),
 step AS (SELECT {', '.join('a.' + k for k in keys.split(', '))}, a.i, a.n, sum(sign(a.value - b.value)) AS v FROM lng a JOIN lng b ON {same} GROUP BY ALL),
 us AS (SELECT {keys}, i, n, abs(sum(v) OVER (PARTITION BY {keys} ORDER BY i)) AS u FROM step),
 pick AS (SELECT {keys}, n, max(u)::DOUBLE AS k, arg_max(i, (u, -i)) AS i FROM us WHERE i < n GROUP BY ALL),
-pet AS (SELECT {', '.join('p.' + k for k in keys.split(', '))}, p.n, p.i AS changepoint, max(s.period_start) FILTER (WHERE s.i = p.i) AS last_before, p.k AS statistic, least(1, 2 * exp(-6 * p.k * p.k / (p.n::DOUBLE ** 3 + p.n::DOUBLE ** 2))) AS p_value,
+pet AS (SELECT {', '.join('p.' + k for k in keys.split(', '))}, p.n, p.i::INT AS changepoint, max(s.period_start) FILTER (WHERE s.i = p.i) AS last_before, p.k AS statistic, least(1, 2 * exp(-6 * p.k * p.k / (p.n::DOUBLE ** 3 + p.n::DOUBLE ** 2))) AS p_value,
   avg(s.value) FILTER (WHERE s.i <= p.i) AS mean_before, avg(s.value) FILTER (WHERE s.i > p.i) AS mean_after
   FROM pick p JOIN lng s ON {' AND '.join(f'p.{k} IS NOT DISTINCT FROM s.{k}' for k in keys.split(', '))} GROUP BY ALL)"""
 
