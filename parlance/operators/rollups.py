@@ -121,14 +121,10 @@ def expanding_z(series: DataFrame, keys: tuple[str, ...] = ("entity_id",), value
 def volatility(mentions: DataFrame, start: str, end: str, least_sources: int = 5, least_mentions: int = 20, limit: int = 1000) -> DataFrame:
     """0.6 of the variance of sources' means (two mentions at least) and 0.4 of the deviation of all readings; top by deviation."""
     rows = complete(between(mentions, start, end)).withColumn("s", (F.col("power") + F.col("moral")) / 2)
-    # one shuffle by entity and source serves both levels
-    per_source = rows.groupBy("entity_id", "source_id").agg(F.count("*").alias("k"), F.avg("s").alias("m"), F.sum("s").alias("sum"), F.sum(F.col("s") * F.col("s")).alias("squares"))
-    k = F.sum("k")
-    variance = (F.sum("squares") - F.sum("sum") * F.sum("sum") / k) / (k - 1)
-    out = per_source.groupBy("entity_id").agg(
-        k.alias("mentions"), F.count("*").alias("sources"), F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), variance))).alias("deviation"),
-        F.coalesce(F.var_samp(F.when(F.col("k") >= 2, F.col("m"))), F.lit(0.0)).alias("divergence"),
-    )
+    per_source = rows.groupBy("entity_id", "source_id").agg(F.count("*").alias("k"), F.avg("s").alias("m"))
+    per_entity = rows.groupBy("entity_id").agg(F.count("*").alias("mentions"), F.stddev_samp("s").alias("deviation"))
+    out = per_source.groupBy("entity_id").agg(F.count("*").alias("sources"), F.coalesce(F.var_samp(F.when(F.col("k") >= 2, F.col("m"))), F.lit(0.0)).alias("divergence"))
+    out = per_entity.join(out, "entity_id").select("entity_id", "mentions", "sources", "deviation", "divergence")
     out = out.where((F.col("sources") >= least_sources) & (F.col("mentions") >= least_mentions))
     out = out.orderBy(F.desc(r6("deviation")), "entity_id").limit(limit)
     return out.withColumn("volatility", 0.6 * F.col("divergence") + 0.4 * F.col("deviation"))
