@@ -36,7 +36,7 @@ NODE_BITS, PLACE_BITS = 24, 35
 CACHED_WORDS = 250_000
 #: The same for words without the marks that end them.
 CACHED_STEMS = 500_000
-#: Marks at a word's end that the pre-tokenizer parts from the letters before them.
+#: Marks at a word's end that the pre-tokenizer parts from a letter or digit before them, though not from other marks.
 TAILS = ".,!*$#%&"
 #: Letters whose lower case is one letter too and that no normalization changes.
 LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u0148\u014a-\u017e]+")
@@ -97,6 +97,8 @@ class WordIds:
             self.stems.clear()
         texts = b"\n".join(words).decode().split("\n")
         stems = [text.rstrip(TAILS) for text in texts]
+        # after anything but a letter or digit, the tail is of one piece with what stands before it
+        stems = [s if s[-1:].isascii() and s[-1:].isalnum() or LATIN.fullmatch(s[-1:]) else text for s, text in zip(stems, texts, strict=True)]
         new = set(stems) - self.stems.keys()
         latin = [s for s in new if s.isalpha() and (s.isascii() or LATIN.fullmatch(s))]
         self.many(self.letters, [s for s in latin if s.isascii() and s.islower()], {})
@@ -113,8 +115,9 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids, little-endian unsigned 32-bit."""
-        # A-Z in lower case at once makes fewer words; not before a combining mark, which may join them
-        split = [(text if b"\xcc" in text or b"\xcd" in text else text.lower()).split() for text in texts]
+        # A-Z in lower case at once makes fewer words; not before a combining mark, which may join them, nor where
+        # it could make a special token
+        split = [(text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()).split() for text in texts]
         new: set[bytes] = set()
         for words in split:
             new.update(words)

@@ -47,6 +47,13 @@ def test_pieces_and_places(spark, parts):
     assert n <= 1.15 * sum(e[3] for e in expected) / 64 + 2
 
 
+def test_marks_after_marks_are_one_piece():
+    words = ["(foo).", '"foo".', "foo?!", "foo),", '"9233"!!', "x_!", "e\u0301.", "\u0301!", "naïve...", "a\u00b2!", "don't.", "...", "foo!?.", "<|endoftext|>.", "<|ENDOFTEXT|>!"]
+    texts = [*words, " ".join(words), "Plain words, and (more). No. 42!"]
+    found = packing.WordIds(tokenizer_path())([t.encode() for t in texts])
+    assert [[*np.frombuffer(raw, "<u4").tolist(), 1] for raw in found] == [ids_of(t) for t in texts]
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
 
