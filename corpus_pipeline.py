@@ -25,13 +25,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, and of repeated rows, the document with the smallest doc_id stays."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")).alias("key")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    # the join deals by key, and so does the removal of repeated rows: the texts are shuffled once
-    kept = docs.select(key, *COLUMNS).join(first, "key", "left_semi")
-    return kept.dropDuplicates(["key"]).select(*COLUMNS)
+    """Of each group of near copies, and of repeated rows, the document with the smallest doc_id stays.
+
+    Rows of one doc_id, or of none, are documents of their own: each group keeps its first by doc_id (null last)
+    and hash of the text. Rows equal in both keep the smallest of the other columns.
+    """
+    first = simhash.first_of_groups(docs.select("doc_id", "text"))
+    # the join deals by these keys, and so does the removal of repeated rows: the texts are shuffled once
+    kept = docs.select(*COLUMNS, *simhash.row_keys()).join(first, simhash.ROW_KEYS, "left_semi")
+    kept = kept.groupBy(*simhash.ROW_KEYS).agg(F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return kept.select(F.when(~F.col("missing"), F.col("number")).alias("doc_id"), "text", "rest.*").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,15 +50,16 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long) of (doc_id, text); a null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long) of (doc_id, text), and the long columns ``carried`` as they are; a null text has no words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_rows(batches, 8 << 20, "text"):
             values = [fingerprint(x.as_buffer().to_pybytes(), shingle) if x.is_valid else 0 for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", {c} long" for c in carried)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(of, schema)
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -143,3 +144,23 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
     distinct = prints.select("fp").distinct()
     out = with_components(prints, links(distinct, bits), "fp", "doc_id")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: What tells rows apart: doc_id (0 where there is none), whether it is missing, and 128 bits of the text.
+ROW_KEYS = ["number", "missing", "high", "low"]
+
+
+def row_keys() -> list:
+    """The columns of ROW_KEYS, from doc_id and text; hashes that make no copy of the text."""
+    number = F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("number")
+    null = F.col("text").isNull().cast("int")
+    return [number, F.col("doc_id").isNull().alias("missing"), F.xxhash64(null, "text").alias("high"), F.xxhash64(F.lit("low"), null, "text").alias("low")]
+
+
+def first_of_groups(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
+    """The ROW_KEYS of each component's first row by doc_id (null last) and hash of the text, also where doc_ids are null or repeat."""
+    number, missing, *hashes = row_keys()
+    prints = materialize(fingerprints(docs.select("doc_id", "text", *hashes), shingle, ("high", "low")), "fingerprints")
+    rows = prints.select("fp", F.struct(missing, number, "high", "low").alias("own"))
+    found = with_components(rows, links(prints.select("fp").distinct(), bits), "fp", "own")
+    return found.where(F.col("own") == F.col("component_id")).select("own.*").distinct()

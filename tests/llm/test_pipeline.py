@@ -33,6 +33,23 @@ def test_stages_follow_each_other(spark):
     assert all(set(r) == set(corpus_pipeline.COLUMNS) for r in [*language, *deduped, *cut, *mixed])
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(50)) for _ in range(6)]
+    rows = [(None, texts[0], "en", "s", 1), (None, texts[1], "en", "s", 1), (None, texts[1], "de", "s", 1)]  # no doc_id
+    rows += [(7, texts[2], "en", "s", 1), (7, texts[3], "en", "s", 1)]  # one doc_id, two texts
+    rows += [(3, texts[4], "en", "s", 1), (9, texts[4], "en", "s", 1), (9, texts[5], "en", "s", 1)]  # a copy by the doc_id of a clean text
+    rows += [(None, texts[4], "en", "s", 1), (3, texts[4], "en", "r", 1), (3, texts[4], None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = [(None, texts[0], "en", "s", 1), (None, texts[1], "de", "s", 1), (7, texts[2], "en", "s", 1), (7, texts[3], "en", "s", 1)]
+    wanted += [(3, texts[4], None, None, None), (9, texts[5], "en", "s", 1)]
+    for parts in (1, 5):
+        out = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), "unused").collect()
+        assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, wanted))
+
+
 def test_run_on_a_table(spark, small):
     out = corpus_pipeline.run(spark, small).collect()
     assert out and check_sequences(out, 4096)
