@@ -54,6 +54,13 @@ def test_html(spark):
     assert text.extract_article(None) == ("", "", None)
 
 
+def test_html_keeps_long_texts_whole(spark):
+    words = "word " * 12_000 + "end"
+    page = f"<body><p>{words}</p></body>"
+    assert text.extract_article(page)[1] == words and text.extract_article(page, 100)[1] == words[:100]
+    assert spark.createDataFrame([(page,)], "h string").select(text.html_article("h").alias("a")).first()["a"]["text"] == words
+
+
 def test_archetypes_and_bins(spark):
     rows = spark.createDataFrame([(0.1, 0.2), (1.0, 1.0), (1.0, -1.0), (-1.0, 1.0), (-1.0, -1.0), (None, 1.0)], "p double, m double")
     assert [r[0] for r in rows.select(stats.archetype("p", "m")).collect()] == ["neutral", "hero", "villain", "victim", "nuisance", None]
