@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
+#: Parts in which the rows of one component look up its smallest value.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
-        place = tempfile.mkdtemp(prefix="parlance-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-checkpoints-"))
+        place = spark.sparkContext.getCheckpointDir()
     return place.rstrip("/")
 
 
@@ -42,7 +44,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(key, before)
     gc.collect()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def split_words(text) -> Column:
@@ -124,11 +135,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.distinct(), "large")
+        discard(links)
         # small star: a node and its smaller neighbours join the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         links = materialize(small.distinct(), "small")
+        discard(large)
         state = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s"), F.countDistinct("u").alias("d")).first()
         if before == state and state["n"] == state["d"]:
             break
@@ -144,8 +157,11 @@ def with_components(nodes: DataFrame, edges: DataFrame, node: str, value: str) -
     ``nodes`` may hold many rows of one ``node``; ``edges`` has columns a and b over ``node`` values.
     """
     found = connected_components(edges).withColumnRenamed("node", node)
-    classes = nodes.groupBy(node).agg(F.min(value).alias("least"))
-    classes = classes.join(found, node, "left").withColumn("component", F.coalesce("component", node))
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    places = materialize(classes.join(least, "component").select(node, "component_id"), "components")
-    return nodes.join(places, node)
+    classes = materialize(nodes.groupBy(node).agg(F.min(value).alias("least")).join(found, node, "left"), "classes")
+    # what has no link is its own component; rows of a large one meet its smallest value in SALTS parts
+    linked = classes.where("component IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    places = linked.join(least, ["component", "salt"]).select(node, "component_id")
+    places = places.unionByName(classes.where("component IS NULL").select(node, F.col("least").alias("component_id")))
+    return nodes.join(materialize(places, "components"), node)

@@ -1,13 +1,14 @@
 """Quality classification by compression: which of two zstandard dictionaries shortens a text more.
 
 One dictionary is built from good and one from bad labelled text. A text is compressed whole with either, and
-the difference of the compressed sizes over the text's size is the signal. A logistic regression on labelled
-rows that no dictionary has seen turns it into a probability of the good label.
+block by block; the differences of the compressed sizes over the text's or the block's size are the signal. A
+logistic regression on labelled rows that no dictionary has seen turns them into a probability of the good label.
 """
 
 from __future__ import annotations
 
 import functools
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +18,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, discard, materialize
 
-#: The fit's bounds: rows of either label (half for dictionaries, half for calibration), bytes of a sampled
-#: text (longer ones teach nothing), bytes of a dictionary, and the compression level.
-SAMPLE, SAMPLED_BYTES, DICTIONARY, LEVEL = 3000, 30_000, 112_640, 3
+#: The fit's bounds: rows of either label (half for dictionaries, half for calibration), bytes of text that teach a
+#: dictionary (whole texts as long as they fit, the first one whatever its size), its bytes, and the compression level.
+SAMPLE, TAUGHT_BYTES, DICTIONARY, LEVEL = 3000, 8 << 20, 112_640, 3
+#: Bytes of a block; a text's blocks are looked at one by one, so that a bad part of a good text shows.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -46,11 +49,22 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def features(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
-    """Of each whole text: the difference over its size, and over the root of its size for short ones' spread."""
+    """Of each whole text: the difference over its size, its root, the least and greatest of its blocks; the compressed
+    share of the text, the least of its blocks, and what all blocks lose against the whole; the log of its size.
+
+    An empty text has no difference and is not compressed.
+    """
     better, worse = _compressor(good), _compressor(bad)
-    n = np.array([len(t) for t in texts], dtype=np.float64)
-    gap = np.array([len(worse.compress(t)) - len(better.compress(t)) for t in texts], dtype=np.float64)
-    return np.stack([gap / (n + 40), np.sign(gap) * np.sqrt(np.abs(gap) / (n + 40))], 1).reshape(-1, 2)
+    out = np.zeros((len(texts), 8))
+    out[:, 4:6], out[:, 7] = 1, np.log(40)
+    for i, text in enumerate(texts):
+        if n := len(text):
+            sizes = [(len(b), len(better.compress(b)), len(worse.compress(b))) for b in [text, *[text[k : k + BLOCK] for k in range(0, n, BLOCK)]][: None if n > BLOCK else 1]]
+            size, small, other = np.array(sizes, np.float64).T
+            gap, share = (other - small) / (size + 40), (small + 8) / (size + 8)
+            own = slice(1 if n > BLOCK else 0, None)
+            out[i] = gap[0], np.sign(gap[0]) * np.sqrt(abs(gap[0])), gap[own].min(), gap[own].max(), share[0], share[own].min(), small[own].sum() / (n + 40) - share[0], np.log(n + 40)
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -67,50 +81,67 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit_texts(good: list[bytes], bad: list[bytes], share: float) -> Model:
-    """From texts in random order, the first half of either for dictionaries; ``share``: of good ones among all rows."""
-
-    def dictionary(texts: list[bytes]) -> bytes:
-        # as content: the tail counts most, and whole texts keep the phrases together
-        content = b"\n".join(t for t in texts)[-(8 * DICTIONARY) :]
-        pieces = [content[i : i + 2048] for i in range(0, len(content), 2048)]
-        try:
-            return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
-        except zstandard.ZstdError:  # too little text for its trainer
-            return content[-DICTIONARY:] or b"\n" * 8
-
-    g, b = good[: max(1, len(good) // 2)], bad[: max(1, len(bad) // 2)]
-    dictionaries = dictionary(g), dictionary(b)
-    rest = [good[len(g) :] or good, bad[len(b) :] or bad]
-    x = features([*rest[0], *rest[1]], *dictionaries)
-    y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
-    weight = np.where(y == 1, share / max(1, len(rest[0])), (1 - share) / max(1, len(rest[1]))) * len(y)
+def dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary from all of the texts, or where they are too few for its trainer the texts themselves."""
+    content = b"\n".join(texts)
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [content[i : i + 2048] for i in range(0, len(content), 2048)]).as_bytes()
+    except zstandard.ZstdError:
+        return content[-DICTIONARY:] or b"\n" * 8
+
+
+def fit_features(x: np.ndarray, y: np.ndarray, share: float, good: bytes, bad: bytes) -> Model:
+    """Calibration on features of labelled rows; ``share``: of good ones among all labelled rows."""
+    weight = np.where(y == 1, share / max(1, int((y == 1).sum())), (1 - share) / max(1, int((y == 0).sum()))) * len(y)
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
     w = _logistic((x - mean) / spread, y, weight)
-    return Model(*dictionaries, tuple(mean), tuple(spread), tuple(w))
+    return Model(good, bad, tuple(mean), tuple(spread), tuple(w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1).
 
-    Rows of another quality, and those without a text, teach nothing. About ``sample`` rows of either label are
-    drawn by a hash of doc_id; so few ids join the documents by broadcast. None unless both labels have texts.
+    Rows of another quality, and those without a text, teach nothing; texts of any length do. About ``sample`` ids of
+    either label are drawn by a hash of doc_id (so few ids join the documents by broadcast), and of their rows the
+    first ``sample`` by a hash of doc_id and text; equal rows count once. Half teach the dictionaries, half calibrate,
+    which happens where the rows are: only a row's features come to the driver. None, with a warning, unless
+    both labels have texts.
     """
-    rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("own_id"), "quality").distinct()
     counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
-    if len(counts) < 2:
-        return None
     spread = 1 << 40
-    draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string")), F.lit(spread))
-    limit = F.when(F.col("quality") == 1, min(spread, spread * sample // counts[1])).otherwise(min(spread, spread * sample // counts[0]))
-    drawn = rows.where(draw < limit).select("doc_id", "quality", draw.alias("draw"))
-    texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLED_BYTES))
-    found = texts.join(F.broadcast(drawn), "doc_id").select("draw", "quality", "text").collect()
-    found.sort(key=lambda r: (r["draw"], r["quality"], r["text"]))
-    good, bad = ([r["text"].encode() for r in found if r["quality"] == q] for q in (1, 0))
-    if not good or not bad:
+    draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("own_id").cast("string")), F.lit(spread))
+    limit = F.when(F.col("quality") == 1, min(spread, spread * sample // counts.get(1, 1))).otherwise(min(spread, spread * sample // counts.get(0, 1)))
+    drawn = rows.where(draw < limit)
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") > 0)
+    found = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("own_id"))
+    found = materialize(found.select("quality", F.xxhash64(F.lit("row"), F.col("own_id").cast("string"), "text").alias("draw"), "text"), "labelled")
+    sizes = found.groupBy("quality", "draw").agg(F.max(F.octet_length("text")).alias("n"))
+    taught, rest, half = {}, {}, {}
+    for q in (0, 1):
+        own = sizes.where(F.col("quality") == q).orderBy("draw").limit(sample).collect()
+        half[q] = max(1, len(own) // 2)
+        fitting = np.flatnonzero(np.cumsum([r["n"] for r in own[: half[q]]]) <= TAUGHT_BYTES)
+        taught[q] = [r["draw"] for r in own[: max(1, len(fitting))]]
+        rest[q] = [r["draw"] for r in own[half[q] :]] or taught[q]
+    if not taught[0] or not taught[1]:
+        warnings.warn("no quality model: some label has no text", stacklevel=2)
         return None
-    return fit_texts(good, bad, counts[1] / (counts[0] + counts[1]))
+    among = lambda q, draws: (F.col("quality") == q) & F.col("draw").between(draws[0], draws[-1])
+    content = {}
+    for q in (0, 1):
+        own = found.where(among(q, taught[q])).dropDuplicates(["draw"]).orderBy("draw").select("text").toArrow()
+        content[q] = dictionary([x.as_buffer().to_pybytes() for x in own.column(0)])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_rows(batches, 8 << 20, "text"):
+            x = features([t.as_buffer().to_pybytes() for t in batch.column(2)], content[1], content[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["quality", "draw", "x"])
+
+    seen = found.where(among(0, rest[0]) | among(1, rest[1])).mapInArrow(measured, "quality int, draw long, x array<double>")
+    seen = sorted(seen.dropDuplicates(["quality", "draw"]).collect())
+    discard(found)
+    return fit_features(np.array([r["x"] for r in seen]), np.array([float(r["quality"]) for r in seen]), counts[1] / (counts[0] + counts[1]), content[1], content[0])
 
 
 def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -19,13 +19,13 @@ from .common import materialize, split_words
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 #: Documents that a group needs for thresholds of its own, and quartile ranges beyond a quartile that reject.
 MIN_GROUP, REACH = 50, 8
-#: Measures: numerator, scale, denominator, least quartile range, and whether low values reject too. A group
-#: without repeats gets a fence for them just beyond the base rule, which clean texts with one doubled line pass.
+#: Measures: numerator, scale, denominator, least quartile range, and whether low values reject too. The least ranges
+#: keep the fences of groups in which a measure is nearly always zero from rejecting a single mark or repetition.
 MEASURES = {
     "symbols": ("n_symbols", 1000, "n_words", 25, False),
-    "repeats": ("n_repeat_words", 1000, "n_words", 38, False),
+    "echoes": ("n_echoes", 1000, "n_words", 8, False),
     "dup_lines": ("n_dup_lines", 1000, "n_lines", 60, False),
-    "word_length": ("word_chars", 100, "n_words", 50, True),
+    "word_length": ("word_chars", 100, "n_words", 40, True),
 }
 
 
@@ -51,10 +51,10 @@ def _repeated(hashes: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, ...) with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long).
+    """``docs`` (text, ...) with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_echoes (long).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; a null or empty text has zeros. n_lines counts lines
-    with a word. Windows are told apart by a 64-bit hash of their words' 64-bit hashes.
+    with a word, n_echoes words equal to the one before. Windows are told apart by a 64-bit hash of their words' 64-bit hashes.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("_words", split_words(text))
@@ -70,6 +70,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_lines": F.size("_lines"),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": _repeated(F.col("_windows")),
+        "n_echoes": F.size(F.filter("_hashes", lambda h, i: (i > 0) & (h == F.get("_hashes", i - 1)))),
     }
     rows = rows.withColumns({k: v.cast("long") for k, v in counts.items()})
     return rows.drop("_words", "_hashes", "_windows", "_lines")
@@ -127,7 +128,7 @@ def judge(docs: DataFrame) -> DataFrame:
     joined = rows.join(fences, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     far = reduce(lambda x, y: x | y, [(F.col(f"m_{m}") > F.col(f"{m}_high")) | (F.col(f"m_{m}") < F.col(f"{m}_low") if low else F.lit(False)) for m, (*_, low) in MEASURES.items()])
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "n_echoes")
 
 
 ORACLE_SQL = rf"""
@@ -147,13 +148,14 @@ WITH base AS (
 ), counted AS (
   SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
-         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_echoes
   FROM words LEFT JOIN repeated USING (rid)
 ), judged AS (
   SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AS base_failed FROM counted
 ), values_ AS (
-  SELECT rid, lang, source, base_failed, unnest(['symbols', 'repeats', 'dup_lines', 'word_length']) AS metric,
-         unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_repeat_words // greatest(n_words, 1),
+  SELECT rid, lang, source, base_failed, unnest(['symbols', 'echoes', 'dup_lines', 'word_length']) AS metric,
+         unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_echoes // greatest(n_words, 1),
                  1000 * n_dup_lines // greatest(n_lines, 1), 100 * word_chars // greatest(n_words, 1)]) AS v
   FROM judged
 ), cells AS (
@@ -169,7 +171,7 @@ WITH base AS (
   SELECT level, lang, source, metric, max(total) AS total, min(bucket) FILTER (WHERE 4 * below >= total) AS q1, min(bucket) FILTER (WHERE 4 * below >= 3 * total) AS q3
   FROM summed GROUP BY level, lang, source, metric
 ), fences AS (
-  SELECT *, {REACH} * greatest(q3 - q1, CASE metric WHEN 'symbols' THEN 25 WHEN 'repeats' THEN 38 WHEN 'dup_lines' THEN 60 ELSE 50 END) AS reach FROM quarts
+  SELECT *, {REACH} * greatest(q3 - q1, CASE metric WHEN 'symbols' THEN 25 WHEN 'echoes' THEN 8 WHEN 'dup_lines' THEN 60 ELSE 40 END) AS reach FROM quarts
 ), far AS (
   SELECT v.rid, bool_or(v.v > f.q3 + f.reach OR (v.metric = 'word_length' AND v.v < f.q1 - f.reach)) AS far
   FROM values_ v
@@ -179,6 +181,6 @@ WITH base AS (
     WHEN l.total >= {MIN_GROUP} THEN f.level = 1 AND f.lang IS NOT DISTINCT FROM v.lang ELSE f.level = 2 END
   GROUP BY v.rid
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, false) AS kept, n_lines
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, false) AS kept, n_lines, n_echoes
 FROM judged LEFT JOIN far USING (rid)
 """

@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import language, mixing, quality_classifier, quality_rules, quotations, url_filter
 from parlance.llm.queries import ORACLES, QUERIES, URL_RULES
@@ -49,7 +50,7 @@ def test_quotations_against_sql(spark):
         (1, 0, "user", "Hello there\nHow are you?", 1), (1, 2, "assistant", "> how  are YOU?\nFine.", 1), (1, 5, "user", ">> Hello there\n> Fine.\nGood\n>", 1),
         (1, 5, "user", ">> Hello there\n> Fine.\nGood\n>", 1), (1, 9, None, "> never said\n\nNo", 1), (1, 70, "user", "> > How are you?\r\nlast", 1), (1, 9000, "user", "  > Good\n", 1),
         (2, 0, "user", None, 1), (2, 1, "user", "", 1), (2, None, "user", "> Hello there", 1), (None, 3, "user", "alone", 1), (None, 4, "user", "> alone", 1), (3, 4, "user", "> alone", 1),
-        (1, -3, "system", "before all", 1), (4, 1, "user", "> same\nsame", 1), (4, 1, "assistant", "same", 1),
+        (1, -3, "system", "before all", 1), (1, 9, "a|>b", "see <|user|> and <\\|x|>", 1), (5, 0, "user", "zero", 1), (5, 1, "user", "one", 1), (5, 2, "user", "> zero\ntwo", 1), (5, 3, "user", "three", 1), (5, 4, "user", "> two\nfour", 1), (4, 1, "user", "> same\nsame", 1), (4, 1, "assistant", "same", 1),
     ]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position int")
     pandas = table.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})
@@ -58,6 +59,8 @@ def test_quotations_against_sql(spark):
     assert {(r["turn"], r["reply_to"], r["link"]) for r in linked.where("conv_id = 1").collect()} >= {(2, 0, "quote"), (5, 2, "quote"), (9, 5, "previous"), (70, 0, "quote"), (-3, None, "none"), (9000, 5, "quote")}
     assert quotations.link(table.limit(0)).count() == 0
     text = {(r["conv_id"], r["part"]): r["text"] for r in quotations.render(linked).collect()}
+    assert text[5, 0] == "".join(f"<|user|>\n{x}\n" for x in ("zero", "two", "four", "one", "three"))
+    assert "<|a__b|>\nsee <\\|user|> and <\\\\|x|>\n" in text[1, 0]
     assert text[1, 0].startswith("<|system|>\nbefore all\n<|user|>\nHello there\nHow are you?\n<|assistant|>\nFine.\n")
 
 
@@ -81,6 +84,25 @@ def test_urls_against_sql_and_join(spark):
     assert {r["verdict"] for r in url_filter.judge(pages, []).collect()} == {"allow"}
 
 
+def test_urls_by_shards_are_judged_alike(spark, monkeypatch):
+    rules = [*URL_RULES, ("é.org", "/ü", "block"), ("É.org", "/", "block"), ("b.com", "/de", "allow"), ("a.b.com", "/de/", "allow"), ("b.com", "/de", "block")] + [(f"h{i}.net", "/x" * (i % 4 + 1), "block") for i in range(60)]
+    urls = [*URLS, URLS[4], "http://É.org/üß", "http://b.com/de", "x://q.h7.net/x/x/x/xyz", "x://h7.net/X", "x://é.org/ß", "http://A.H3.net/x/x/x/x"]
+    pages = spark.createDataFrame([(i % 19, u, 1) for i, u in enumerate(urls * 2)] + [(None, None, 1)], "page_id long, url string, rule int")
+    whole = rows_of(url_filter.judge(pages, rules))
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    assert rows_of(url_filter.judge(pages, table)) == whole
+    monkeypatch.setattr(url_filter, "SHARD_BYTES", 200)
+    monkeypatch.setattr(url_filter, "MET", 3)
+    assert rows_of(url_filter.judge(pages, rules)) == rows_of(url_filter.judge(pages, table)) == whole
+    assert url_filter.judge(pages.limit(0), table).count() == 0
+    for wrong in [("", "/", "allow"), ("x", "y", "allow"), ("x", "/", "deny"), ("x", None, "block")]:
+        for size in (200, 1 << 20):
+            monkeypatch.setattr(url_filter, "SHARD_BYTES", size)
+            for given in ([*rules, wrong], spark.createDataFrame([*rules, wrong], table.schema)):
+                with pytest.raises(ValueError, match="not a rule"):
+                    url_filter.judge(pages, given)
+
+
 def test_colliding_digests_are_told_apart(monkeypatch, tmp_path):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda k: len(k) % 3)
     rules = [(h, p, v) for (h, v), p in itertools.product([("a.org", "allow"), ("b.org", "block"), ("cc.org", "allow")], ["/", "/x", "/yz"])]
@@ -122,7 +144,10 @@ def test_mixing(spark):
     rows += [(i, None, "z", "x"), (i + 1, " ", "b", "x"), (0, rows[0][1], "b", "x")]
     sizes["b"] += len(rows[0][1].split())
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    for name in ("l", "mean", "shift", "documents", "key", "row", "r", "s", "cuts", "below", "at", "draw", "a.b"):
+        docs = docs.withColumn(name, F.lit(1))
     out = mixing.mix(docs)
+    assert set(docs.columns) <= set(out.columns)
     found = out.collect()
     assert len(found) == len(rows)
     want = brute_targets(sizes, mixing.WEIGHTS, 1.5, 2)
@@ -177,6 +202,23 @@ def test_quality_odd_rows(spark):
     assert quality_classifier.score(docs.limit(0), model).count() == 0
 
 
+def test_mixing_comes_near_every_target(spark):
+    docs = spark.createDataFrame([(i, "w " * (4000 if i % 50 == 0 else 1 + i % 90), f"s{i % 3}") for i in range(1500)], "doc_id long, text string, source string")
+    out = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.002 * r["target"] for r in out)
+
+
+def test_quality_learns_from_long_and_repeated_rows(spark):
+    rows = [(i, ("fine words of sense " if i % 2 else "$$ %% ### || ") * 4000 + str(i), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] * 2, "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    out = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, model).collect()}
+    assert min(out[i] for i, _, q in rows if q) > 0.5 > max(out[i] for i, _, q in rows if not q)
+    with pytest.warns(UserWarning, match="no quality model"):
+        assert quality_classifier.fit(docs, labels.where("quality = 1")) is None
+
+
 def test_no_operator_row_is_lost(spark, small):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     for name in ("op2_quality_rules", "op6_mix_sources", "op5_simhash_duplicates", "op10_remove_repeats"):
