@@ -24,8 +24,11 @@ def slow(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length", [16, 50])
-def test_against_brute_force(spark, length):
+@pytest.mark.parametrize("length,hot", [(16, False), (50, False), (16, True), (50, True)])
+def test_against_brute_force(spark, length, hot, monkeypatch):
+    if hot:  # most triggers are dealt as hot ones
+        monkeypatch.setattr(substrings, "HOT_LEAST", 2)
+        monkeypatch.setattr(substrings, "HOT_SHARE", 0)
     rng = np.random.default_rng(length)
     words = ["the", "of", "naïve", "straße", "x", "language", "and", "is", "\n"]
     passages = [" ".join(rng.choice(words, n)) for n in (8, 11, 14, 30, 200)]
@@ -61,12 +64,33 @@ def test_text_and_columns_come_along(spark):
     assert out == {1: (same, "en"), 2: ("Before. ", None), 3: (None, "de")}
 
 
+def test_missing_numbers_and_clashing_names(spark):
+    same = "This sentence is long enough to be a repeated passage of the corpus."
+    docs = spark.createDataFrame([(None, same, 1, 2), (None, same, 1, 2), (5, same, 3, 4), (6, same, 5, 6)], "doc_id long, text string, kept int, g int")
+    out = substrings.remove_repeats(docs, with_text=True)
+    assert sorted(out.columns) == sorted(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "g"])
+    assert sorted((r["doc_id"] or 0, r["kept"], r["g"]) for r in out.collect()) == [(0, same, 2), (0, same, 2), (5, same, 4), (6, "", 6)]
+
+
+def test_suffix_ranks():
+    rng = np.random.default_rng(2)
+    for n, length in [(400, 16), (400, 50), (90, 33), (60, 50)]:
+        data = rng.integers(0, 3, n).astype(np.uint8)
+        at = range(n - length + 1)
+        ranks = substrings.suffix_ranks(data, length)
+        parts = sorted({data[i : i + length].tobytes() for i in at})
+        order = sorted(at, key=lambda i: ranks[i])
+        assert [data[i : i + length].tobytes() for i in order] == sorted(data[i : i + length].tobytes() for i in at)
+        assert len({int(ranks[i]) for i in at}) == len(parts)
+
+
 def test_no_documents(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_groups_are_sparks(spark):
     ids = np.array([0, 1, -1, 1 << 62, -(1 << 63), 12345], np.int64)
-    rows = spark.createDataFrame([(int(i),) for i in ids], "i long").selectExpr("i", "pmod(xxhash64(i), 37) g").collect()
-    found = dict(zip(ids.tolist(), substrings.document_group(ids, 37).tolist(), strict=True))
+    crc = np.array([0, 7, 1 << 31, (1 << 32) - 1, 9, 9], np.uint32)
+    rows = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, crc, strict=True)], "i long, c long").selectExpr("i", "pmod(xxhash64(i, c), 37) g").collect()
+    found = dict(zip(ids.tolist(), substrings.document_group(ids, crc, 37).tolist(), strict=True))
     assert found == {r["i"]: r["g"] for r in rows}
