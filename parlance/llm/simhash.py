@@ -2,10 +2,13 @@
 
 A fingerprint's Hamming distances to fixed reference fingerprints (pivots) are its row of the pivot table. Two
 fingerprints that differ in at most r bits have rows that differ by at most r in every coordinate (triangle
-inequality), so a pair with a larger coordinate difference is discarded, and survivors are verified on the bits.
-Pairs to test come from an exact cover: of BLOCKS blocks of bits, r changed bits leave BLOCKS - r untouched, so
-linked fingerprints agree on that many whole blocks; every choice of them is a key. A key with more than TILE
-fingerprints is dealt to tiles of pairs of chunks. Only the links of a spanning forest leave a task.
+inequality). Within a group, fingerprints are sorted by their distances to the pivot that spreads the group most,
+and only those at most r apart there are paired at all; such a pair with a larger difference in another coordinate
+is discarded, and survivors are verified on the bits. On bits of chance pivots part too little to deal out a large
+corpus by themselves (two rows differ by at most 4 in one coordinate in about half of all pairs), so the groups come
+from an exact cover: of BLOCKS blocks of bits, r changed bits leave BLOCKS - r untouched, so linked fingerprints
+agree on that many whole blocks; every choice of them is a key. A key with more than TILE fingerprints is dealt to
+tiles of pairs of chunks. Only the links of a spanning forest leave a task.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ SEED = 42
 PIVOTS = 24
 BLOCKS = 6
 TILE = 2048
+#: Rows that a task compares at once; a key's rows are at most TILE.
+SWEPT = 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -67,46 +72,72 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
 
 
+def sweep(keys: np.ndarray, fps: np.ndarray, references: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links (a, b) of a spanning forest among the fingerprints of each key, and how many pairs were formed.
+
+    ``keys`` are sorted.
+    """
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(begin, len(keys)))
+    fps, sizes = fps[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]  # a key's only fingerprint has no pair
+    if not len(fps):
+        return fps, fps, 0
+    table = np.empty((len(references), len(fps)), np.int8)
+    for k, reference in enumerate(references):
+        table[k] = np.bitwise_count(fps ^ reference)
+    # each group in the order of its most spread coordinate
+    begin, group = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    wide = table.astype(np.float32)
+    spread = np.add.reduceat(wide * wide, begin, axis=1) - np.add.reduceat(wide, begin, axis=1) ** 2 / sizes
+    leading = table[spread.argmax(0)[group], np.arange(len(fps))]
+    order = np.lexsort((leading, group))
+    fps, table, leading = fps[order], table[:, order], leading[order]
+    last = np.repeat(begin + sizes, sizes)
+    label = np.arange(len(fps))
+    first = label.copy()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    pending = formed = 0
+    for step in range(1, int(sizes.max())):
+        first = first[first + step < last[first]]
+        first = first[leading[first + step] - leading[first] <= bits]  # those behind are further away
+        if not len(first):
+            break
+        formed += len(first)
+        i = first
+        for coordinate in table:
+            i = i[np.abs(coordinate[i] - coordinate[i + step]) <= bits]
+        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= bits]
+        if len(i):
+            found.append((i, i + step))
+            pending += len(i)
+        if pending > 200_000:
+            label = union_find(label, *(np.concatenate(x) for x in zip(*found, strict=True)))
+            found, pending = [], 0
+    if found:
+        label = union_find(label, *(np.concatenate(x) for x in zip(*found, strict=True)))
+    i = np.flatnonzero(label != np.arange(len(fps)))
+    return fps[i], fps[label[i]], formed
+
+
 def _links_in_groups(bits: int, references: np.ndarray):
-    """A function over rows (key, fp) sorted by key: links of a spanning forest among each key's fingerprints."""
+    """``sweep`` over rows (key, fp) sorted by key, whole keys at a time, SWEPT rows or one key's at once."""
+
+    def some(parts: list[tuple[np.ndarray, np.ndarray]], whole: bool) -> tuple[pa.RecordBatch, list]:
+        keys, fps = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        cut = len(keys) if whole else int(np.searchsorted(keys, keys[-1]))
+        a, b, _ = sweep(keys[:cut], fps[:cut].view(np.uint64), references, bits)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"]), [(keys[cut:], fps[cut:])]
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        keys = np.concatenate([p[0] for p in parts])
-        fps = np.concatenate([p[1] for p in parts])
-        del parts
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(new, len(keys)))
-        rows = np.repeat(sizes > 1, sizes)  # a key's only fingerprint has no pair
-        fps, sizes = fps[rows].view(np.uint64), sizes[sizes > 1]
-        if not len(fps):
-            return
-        last = np.repeat(np.cumsum(sizes), sizes)
-        table = np.empty((len(references), len(fps)), np.int8)
-        for k, reference in enumerate(references):
-            table[k] = np.bitwise_count(fps ^ reference)
-        label = np.arange(len(fps))
-        first = label.copy()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        pending = 0
-        for step in range(1, int(sizes.max())):
-            first = first[first + step < last[first]]
-            i = first
-            for coordinate in table:
-                i = i[np.abs(coordinate[i] - coordinate[i + step]) <= bits]
-            i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= bits]
-            if len(i):
-                found.append((i, i + step))
-                pending += len(i)
-            if pending > 200_000:
-                label = union_find(label, *(np.concatenate(x) for x in zip(*found, strict=True)))
-                found, pending = [], 0
-        if found:
-            label = union_find(label, *(np.concatenate(x) for x in zip(*found, strict=True)))
-        i = np.flatnonzero(label != np.arange(len(fps)))
-        yield pa.RecordBatch.from_arrays([pa.array(fps[i].view(np.int64)), pa.array(fps[label[i]].view(np.int64))], ["a", "b"])
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(k) for k, _ in parts) > SWEPT:
+                out, parts = some(parts, False)
+                yield out
+        if parts:
+            yield some(parts, True)[0]
 
     return links
 

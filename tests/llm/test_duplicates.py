@@ -76,6 +76,20 @@ def test_simhash_near_pairs_at_the_limit(spark):
     assert components(len(values), true) == components(len(values), [tuple(at[x] for x in p) for p in found])
 
 
+def test_pivots_form_fewer_pairs(spark):
+    rng = np.random.default_rng(8)
+    keys = np.sort(rng.integers(0, 9, 3000))
+    fps = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    fps[::3] = fps[1::3] ^ np.uint64(0b1011)
+    a, b, formed = simhash.sweep(keys, fps, simhash.pivots(), 4)
+    pairs = [(i, j) for k in range(9) for i, j in itertools.combinations(np.flatnonzero(keys == k).tolist(), 2)]
+    true = [(i, j) for i, j in pairs if int(fps[i] ^ fps[j]).bit_count() <= 4]
+    at = {int(v): i for i, v in enumerate(fps)}
+    assert components(3000, true) == components(3000, [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)])
+    # two rows of random bits are within 4 of each other in a coordinate in 57 % of all pairs
+    assert len(true) < formed < 0.57 * len(pairs)
+
+
 def test_no_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -88,12 +102,13 @@ def test_embeddings_against_brute_force(spark, chunk, small, monkeypatch):
     centres = rng.normal(size=(12, 16))
     x = np.concatenate([c + 0.25 * rng.normal(size=(12, 16)) for c in centres] + [rng.normal(size=(40, 16))])
     vectors = [v.tolist() for v in x] + [x[0].tolist()] * 5 + [(2 * x[1]).tolist(), None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] * 16, [None] * 16]
+    vectors += [[1.0] * 8, [3.0] * 8, [1.0] * 8 + [0.0] * 8, [5.0], [-5.0], [2.0]]
     ids = [int(i) for i in rng.permutation(len(vectors))]
     table = spark.createDataFrame(list(zip(ids, vectors, [1] * len(ids), strict=True)), "vec_id long, embedding array<double>, kept int")
     out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(table).collect()}
     valid = [i for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and any(v)]
     unit = {i: np.array(vectors[i]) / np.linalg.norm(vectors[i]) for i in valid}
-    links = [(i, j) for i, j in itertools.combinations(valid, 2) if unit[i] @ unit[j] >= 0.95]
+    links = [(i, j) for i, j in itertools.combinations(valid, 2) if len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95]
     label = components(len(vectors), links)
     least = {}
     for i, k in enumerate(label):
