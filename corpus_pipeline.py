@@ -18,7 +18,11 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those of no language the corpus is labelled with."""
+    """Rejects texts without a letter and those of no language the corpus is labelled with.
+
+    A null or empty text has no letter. Rows of one doc_id, or of none, are judged each on its own text; where no row
+    has a language there is no model, and nothing passes. No rows give no rows.
+    """
     model = language.fit(docs.select("doc_id", "lang", "text"))
     found = language.predict(docs.select(*COLUMNS), model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
@@ -38,19 +42,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out passages of 50 bytes or more that a document with a smaller doc_id has too; n_chars follows."""
+    """Takes out passages of 50 bytes or more that a document with a smaller doc_id has too; n_chars follows.
+
+    Rows of one doc_id never cost each other a byte, and rows without one stay as they are. A null text stays null,
+    and its n_chars too; a text may become empty. No rows give no rows.
+    """
     cut = substrings.remove_repeats(docs.select("doc_id", "text", "lang", "source"), length=50, with_text=True)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it.
+
+    Documents without words come through once. A null source is a source. Rows alike in doc_id and text are rounded
+    alike; their copies are rows. No rows give no rows.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS), weights=(3, 1, 2), share=1.5, most=2).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 ids."""
+    """Token sequences of at most 4096 ids: one row a piece of a document. Null and empty texts are their end id; repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path(), end_id=1, capacity=4096)
 
 
