@@ -156,6 +156,8 @@ def topic_clusters(counts: DataFrame, mentions: DataFrame, entities: DataFrame,
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["b"].isna()].sort_values("a")
+        if len(own) > kernels.MAX_SIDE:
+            raise ValueError(f"{len(own)} entities in one matrix; at most {kernels.MAX_SIDE}")
         at = {int(x): i for i, x in enumerate(own["a"])}
         together = np.zeros((len(at),) * 2)
         for a, b, n in rows[rows["b"].notna()][["a", "b", "together"]].itertuples(index=False):
@@ -169,13 +171,15 @@ def topic_clusters(counts: DataFrame, mentions: DataFrame, entities: DataFrame,
 
 
 def kmeans_sources(cells: DataFrame, k: int = 5, items: list[int] | None = None, seed: int = 42) -> DataFrame:
-    """k-means of sources over their values of entities (missing: zero)."""
+    """k-means of sources over their values of entities (missing: zero); more than ``kernels.MAX_SIDE`` entities raise."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    columns = items or [r[0] for r in cells.select("entity_id").distinct().orderBy("entity_id").limit(kernels.MAX_SIDE).collect()]
+    columns = items or [r[0] for r in cells.select("entity_id").distinct().orderBy("entity_id").limit(kernels.MAX_SIDE + 1).collect()]
+    if len(columns) > kernels.MAX_SIDE:
+        raise ValueError(f"more than {kernels.MAX_SIDE} entities as features")
     wide = cells.groupBy("source_id").pivot("entity_id", columns).agg(F.first("value")).na.fill(0.0)
-    rows = wide.select("source_id", array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("features"))
+    rows = wide.select("source_id", array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("features")).cache()
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("source_id", F.col("prediction").alias("cluster_id"))
 
 

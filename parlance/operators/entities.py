@@ -78,10 +78,11 @@ def series(mentions: DataFrame, entity_id: int) -> DataFrame:
     return mentions.where(F.col("entity_id") == entity_id).select("mention_id", "publish_date", "source", "power", "moral")
 
 
-def daily(mentions: DataFrame, entity_ids: list[int], start: str | None = None, end: str | None = None, raw: bool = False) -> DataFrame:
-    """Daily means and counts; ``raw`` keeps aliases apart."""
+def daily(mentions: DataFrame, entity_ids: list[int] | None = None, start: str | None = None, end: str | None = None, raw: bool = False) -> DataFrame:
+    """Daily means and counts, of all entities or some; ``raw`` keeps aliases apart."""
     key = "raw_id" if raw else "entity_id"
-    return summary(between(mentions.where(F.col(key).isin(entity_ids)), start, end), key, "publish_date")
+    rows = mentions if entity_ids is None else mentions.where(F.col(key).isin(entity_ids))
+    return summary(between(rows, start, end), key, "publish_date")
 
 
 def grouped_daily(mentions: DataFrame, entity_id: int, group: str = "country", least: int = 3, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -154,19 +155,34 @@ def duplicate_groups(mentions: DataFrame, entities: DataFrame, least: int = 1) -
     return groups.where((F.col("types") > 1) & (F.col("mentions") >= least))
 
 
-def prune_candidates(mentions: DataFrame, entities: DataFrame, as_of: str, sample_days: int, least_age: int = 7, most_threshold: int = 12) -> DataFrame:
-    """Canonical entities that are no merge target, seen long enough and mentioned too little.
+def prune_candidates(mentions: DataFrame, entities: DataFrame, samples: DataFrame, as_of: str, least_age: int = 7, most_threshold: int = 12) -> DataFrame:
+    """Canonical entities that are no merge target, not preserved, seen long enough and mentioned too little.
 
-    The threshold is a seventh of the sampled days, rounded up, and at most ``most_threshold``. Age counts from
-    the first mention; an entity without one is old.
+    Each entity's threshold is a seventh of the sampled days (``samples``: day) since it was first seen, rounded up
+    and at most ``most_threshold``. One that was never seen counts from the first sampled day. ``entities`` may have
+    ``metadata``, a JSON text whose ``preserve`` keeps a row where it is true.
     """
-    threshold = min(-(-sample_days // 7), most_threshold)
     seen = mentions.groupBy(F.col("raw_id").alias("id")).agg(F.count("*").alias("mentions"), F.min("publish_date").alias("first_seen"))
     targets = entities.where("canonical_id IS NOT NULL").select(F.col("canonical_id").alias("id")).distinct()
     rows = entities.where("canonical_id IS NULL").join(targets, "id", "left_anti").join(seen, "id", "left")
-    rows = rows.withColumn("mentions", F.coalesce("mentions", F.lit(0)))
-    old = F.coalesce(F.datediff(F.lit(as_of).cast("date"), "first_seen"), F.lit(least_age)) >= least_age
-    return rows.where((F.col("mentions") <= threshold) & old).select("id", "name", "mentions")
+    if "metadata" in entities.columns:
+        rows = rows.where(F.coalesce(F.get_json_object("metadata", "$.preserve"), F.lit("")) != "true")
+    days = samples.select("day").where("day IS NOT NULL").distinct()
+    rows = rows.crossJoin(F.broadcast(days.agg(F.min("day").alias("first_day"))))  # one row
+    rows = rows.withColumn("since", F.coalesce("first_seen", "first_day"))
+    ages = days_since(rows.select("since").where("since IS NOT NULL").distinct(), days)
+    rows = rows.join(ages, "since", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0)))
+    threshold = F.least(F.ceil(F.coalesce("sample_days", F.lit(0)) / 7), F.lit(most_threshold))
+    old = F.datediff(F.lit(as_of).cast("date"), "since") >= least_age
+    return rows.where((F.col("mentions") <= threshold) & F.coalesce(old, F.lit(True))).select("id", "name", "mentions", threshold.cast("int").alias("threshold"))
+
+
+def days_since(dates: DataFrame, days: DataFrame) -> DataFrame:
+    """(since, sample_days): distinct sampled days from each distinct date on, by one running count over the calendar of both."""
+    both = days.select(F.col("day").alias("since"), F.lit(1).alias("n")).unionByName(dates.select("since", F.lit(0).alias("n")))
+    run = both.groupBy("since").agg(F.max("n").alias("n"), (F.min("n") == 0).alias("asked"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("since"))
+    return run.select("since", F.sum("n").over(order).alias("sample_days"), "asked").where("asked").drop("asked")
 
 
 def shortlist(documents: DataFrame, names: DataFrame, limit: int = 30) -> DataFrame:

@@ -136,11 +136,14 @@ def spearman(rows: DataFrame, x: str, y: str, keys: tuple[str, ...] = (), least:
 def poll_readings(polls: DataFrame, mentions: DataFrame, days: int = 30) -> DataFrame:
     """Mean readings of each poll's entity from ``days`` before its field start to ``days`` after its end (range join).
 
-    Polls are few; the entity is the equality key of the join and the range its filter.
+    Mentions are summed by entity and day first, so a poll meets at most one row for each day of its window: windows
+    are spread over the days they hold, and entity and day are the key of the join.
     """
-    lo, hi = F.date_sub("field_start", days), F.date_add("field_end", days)
-    rows = polls.join(mentions, "entity_id").where(F.col("publish_date").between(lo, hi))
-    return rows.groupBy("poll_id", "entity_id", "value_pct").agg(F.avg("moral").alias("reading"), F.count("moral").alias("n"))
+    daily = mentions.groupBy("entity_id", "publish_date").agg(F.sum("moral").alias("s"), F.count("moral").alias("n"))
+    span = F.sequence(F.date_sub("field_start", days), F.date_add("field_end", days))
+    windows = polls.where("field_start <= field_end").withColumn("publish_date", F.explode(span))
+    rows = windows.join(daily, ["entity_id", "publish_date"])
+    return rows.groupBy("poll_id", "entity_id", "value_pct").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("reading"), F.sum("n").alias("n"))
 
 
 def entity_cosine(cells: DataFrame, least: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ from ..fixtures import SQL, News
 from ..functions import text as T
 from ..operators import clustering, entities, narrative, publishers, rollups, similarity
 from ..operators.entities import rounded
+from ..session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -516,10 +517,10 @@ def _(t):
     return similarity.spearman(similarity_cells(t).withColumn("value", F.col("value")), "value", "n", ("source_id",))
 
 
-@query("poll_window_join", f"""polls AS (SELECT o_orderkey AS poll_id, o_orderkey % 40 AS entity_id, CAST(o_orderdate AS DATE) AS lo, o_totalprice AS value_pct FROM orders WHERE o_orderkey % 500 = 0)
+@query("poll_window_join", f"""polls AS (SELECT o_orderkey AS poll_id, o_orderkey % 40 AS entity_id, CAST(o_orderdate AS DATE) AS lo, o_totalprice AS value_pct FROM orders)
 SELECT poll_id, entity_id, {r('value_pct')} AS value_pct, {r('avg(moral)')} AS reading, count(moral) AS n FROM polls JOIN mentions USING (entity_id) WHERE publish_date BETWEEN lo - 30 AND lo + 7 + 30 GROUP BY poll_id, entity_id, value_pct""")
 def _(t):
-    o = t.table("orders").where(F.col("o_orderkey") % 500 == 0)
+    o = t.table("orders")
     day = F.to_date("o_orderdate")
     polls = o.select(F.col("o_orderkey").alias("poll_id"), (F.col("o_orderkey") % 40).alias("entity_id"), day.alias("field_start"), F.date_add(day, 7).alias("field_end"), F.col("o_totalprice").alias("value_pct"))
     return similarity.poll_readings(polls, t.mentions)
@@ -546,11 +547,14 @@ def _(t):
     return entities.duplicate_groups(t.mentions, t.entities)
 
 
-@query("entity_prune_candidates", f"""e AS (SELECT id, name, CASE WHEN canonical_id >= 30 THEN canonical_id END AS canonical_id FROM entities WHERE canonical_id IS NULL OR canonical_id >= 30), s AS (SELECT raw_id, count(*) AS mentions, min(publish_date) AS first_seen FROM mentions GROUP BY raw_id)
-SELECT id, name, coalesce(mentions, 0) AS mentions FROM e LEFT JOIN s ON raw_id = id WHERE canonical_id IS NULL AND id NOT IN (SELECT canonical_id FROM e WHERE canonical_id IS NOT NULL) AND coalesce(mentions, 0) <= 30 AND coalesce(date_diff('day', first_seen, DATE '{END}'), 7) >= 7""")
+@query("entity_prune_candidates", f"""s AS (SELECT raw_id AS id, count(*) AS mentions, min(publish_date) AS first_seen FROM mentions GROUP BY raw_id), days AS (SELECT DISTINCT scraped_at AS day FROM articles),
+e AS (SELECT id, name, coalesce(mentions, 0) AS mentions, coalesce(first_seen, (SELECT min(day) FROM days)) AS since FROM entities LEFT JOIN s USING (id) WHERE canonical_id IS NULL AND id NOT IN (SELECT canonical_id FROM entities WHERE canonical_id IS NOT NULL) AND id % 5 <> 0),
+k AS (SELECT *, least(ceil((SELECT count(*) FROM days WHERE day >= since) / 7), 12)::INT AS threshold FROM e)
+SELECT id, name, mentions, threshold FROM k WHERE mentions <= threshold AND date_diff('day', since, DATE '{END}') >= 7""")
 def _(t):
-    rows = t.entities.where("canonical_id IS NULL OR canonical_id >= 30")
-    return entities.prune_candidates(t.mentions, rows, END, 210, most_threshold=30)
+    # every fifth entity is preserved
+    metadata = F.when(F.col("id") % 5 == 0, F.to_json(F.struct(F.lit("true").alias("preserve"))))
+    return entities.prune_candidates(t.mentions, t.entities.withColumn("metadata", metadata), t.articles.select(F.col("scraped_at").alias("day")), END)
 
 
 @query("tiered_search", """h AS (SELECT coalesce(canonical_id, id) AS entity_id, min(CASE WHEN starts_with(lower(name), 're') THEN 1 WHEN contains(lower(name), ' re') THEN 2 WHEN contains(lower(name), 're') THEN 3 END) AS tier FROM entities WHERE contains(lower(name), 're') GROUP BY ALL),
@@ -629,7 +633,7 @@ def _(t):
 
 @query("entity_embeddings_svd")
 def _(t):
-    rows = clustering.entity_embeddings(similarity.ppmi(t.mentions), 8)
+    rows = clustering.entity_embeddings(similarity.ppmi(t.mentions))
     return rows.select("entity_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
@@ -650,7 +654,7 @@ def _(t):
 
 @query("lead_lag_permutation")
 def _(t):
-    return clustering.lead_lag_tests(source_series(t), permutations=200)
+    return clustering.lead_lag_tests(source_series(t))
 
 
 @query("layered_normal_significance")
@@ -691,7 +695,7 @@ def _(t):
 def _(t):
     from ..sources.writers import rounded_json
 
-    rows = entities.daily(t.mentions, [ENTITY])
+    rows = entities.daily(t.mentions)
     return rows.select("entity_id", "publish_date", rounded_json(rows).alias("json"))
 
 
@@ -701,9 +705,8 @@ def _stream(name: str, build: Callable, mode: str = "append"):
 
         from ..streaming import jobs
 
-        place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/parlance-checkpoints"
-        table = f"{name}_{uuid.uuid4().hex}"
-        return jobs.run_to_table(build(jobs, jobs.events(spark, sf_dir)), table, f"{place}/{table}", mode)
+        place = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
+        return jobs.run_to_table(build(jobs, jobs.events(spark, sf_dir)), f"{place}/rows", f"{place}/checkpoint", mode)
 
     QUERIES[name] = run
 
@@ -720,3 +723,7 @@ ORACLES["stream_tumbling"] = _EVENT_WINDOWS.format(w="date_trunc('day', ts)", d=
 ORACLES["stream_weekly"] = _EVENT_WINDOWS.format(w="date_trunc('week', ts)", d=7, j="")
 ORACLES["stream_sliding"] = _EVENT_WINDOWS.format(w="date_trunc('day', ts) - to_days(k)", d=7, j="CROSS JOIN (SELECT unnest(range(0, 7))::INT AS k)")
 ORACLES["stream_dedup_upsert"] = "SELECT event_id, ts, event_type FROM events"
+#: A session is out when the watermark, a day behind the last event, has passed its end.
+ORACLES["stream_sessions"] = """WITH f AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM f)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""

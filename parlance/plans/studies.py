@@ -49,11 +49,11 @@ def _(t):
     return studies.type_preference(t.mentions, t.entities)
 
 
-@query("sampled_age", """s AS (SELECT DISTINCT publish_date AS day FROM articles WHERE article_id % 3 = 0), f AS (SELECT raw_id AS id, min(publish_date) AS first_seen FROM mentions WHERE article_id % 3 = 0 GROUP BY raw_id)
+@query("sampled_age", """s AS (SELECT DISTINCT scraped_at AS day FROM articles), f AS (SELECT raw_id AS id, min(publish_date) + 1 AS first_seen FROM mentions GROUP BY raw_id)
 SELECT id, first_seen, (SELECT count(*) FROM s WHERE day >= first_seen)::INT AS sample_days FROM f""")
 def _(t):
-    seen = t.mentions.where("article_id % 3 = 0").groupBy(F.col("raw_id").alias("id")).agg(F.min("publish_date").alias("first_seen"))
-    return studies.sampled_age(seen, t.articles.where("article_id % 3 = 0").select(F.col("publish_date").alias("day")))
+    seen = t.mentions.groupBy(F.col("raw_id").alias("id")).agg(F.date_add(F.min("publish_date"), 1).alias("first_seen"))
+    return studies.sampled_age(seen, t.articles.select(F.col("scraped_at").alias("day")))
 
 
 @query("eligible_countries", "d AS (SELECT country, count(*) AS sources FROM sources GROUP BY country HAVING count(*) >= 4) SELECT * FROM d")

@@ -26,3 +26,14 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    import tempfile
+
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-checkpoints-"))
+        place = spark.sparkContext.getCheckpointDir()
+    return place.rstrip("/")

@@ -91,11 +91,23 @@ def leases(rows: DataFrame, hours: int = 6, late: str = "1 hour") -> DataFrame:
     return watched.applyInPandasWithState(step, "user_id long, status string, at timestamp", "begun long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(rows: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available into an in-memory table, and return it."""
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rows.sparkSession.table(name)
+def run_to_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is available into Parquet files under ``path``, and return them.
+
+    Each micro-batch has a folder of its own, written anew if the batch is run again. Of a ``complete`` stream the
+    last one is the result; otherwise all are.
+    """
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.append(number)
+
+    rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    reader = rows.sparkSession.read.schema(rows.schema)
+    if not done:
+        return rows.sparkSession.createDataFrame([], rows.schema)
+    return reader.parquet(f"{path}/batch={max(done)}") if mode == "complete" else reader.parquet(*[f"{path}/batch={n}" for n in sorted(set(done))])
 
 
 def trailing_stats(rows: DataFrame, width: str = "7 days", slide: str = "1 day", late: str = "14 days", key: str = "event_type") -> DataFrame:
@@ -113,7 +125,8 @@ def upsert_to_table(rows: DataFrame, root: str, keys: list[str], checkpoint: str
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = table_or_empty(spark, f"{root}/b-{number - 1}", schema)
+        # only the first batch has nothing before it; a version that cannot be read is an error
+        before = spark.read.schema(schema).parquet(f"{root}/b-{number - 1}") if number else spark.createDataFrame([], schema)
         upsert(before, batch, keys).write.mode("overwrite").parquet(f"{root}/b-{number}")
         spark.read.schema(schema).parquet(f"{root}/b-{number}").createOrReplaceGlobalTempView(view)
 

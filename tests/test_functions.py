@@ -34,7 +34,7 @@ def test_urls(spark):
 def test_scores_and_types(spark):
     for value, score in (("1.5", 1.5), ("score: -7", -2.0), ("n/a", 0.0), (None, 0.0), ("", 0.0), ("1.2.3", 0.0)):
         assert one(spark, text.parse_score, value) == score
-    for value, kind in (("Person", "person"), ("political leader", "person"), ("tech company", "business"), ("UN agency", "organization"), ("presidential election", "event"), ("idea", "concept"), (None, "concept")):
+    for value, kind in (("Person", "person"), ("political leader", "person"), ("tech company", "business"), ("UN agency", "organization"), ("presidential election", "event"), ("idea", "concept"), (None, "concept"), ("political_leader", "person"), ("Identity Group", "organization"), ("criminal_organization", "organization"), ("think tank", "organization"), ("sports star", "concept"), ("central_bank", "business")):
         assert one(spark, text.map_type, value) == kind
 
 
@@ -180,7 +180,7 @@ def test_streamed_state_equals_batch(spark, small, tmp_path):
     batch = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     want = batch.groupBy(F.window("ts", "7 days", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.end", "event_type", "n")
     assert sorted(tuple(r) for r in spark.table("global_temp.trailing").select("window_end", "event_type", "n").collect()) == sorted(tuple(r) for r in want.collect())
-    out = {r["user_id"]: r for r in jobs.run_to_table(jobs.decayed_sums(jobs.events(spark, small)), "decayed_test", str(tmp_path / "d"), "update").collect()}
+    out = {r["user_id"]: r for r in jobs.run_to_table(jobs.decayed_sums(jobs.events(spark, small)), str(tmp_path / "rows"), str(tmp_path / "d"), "update").collect()}
     rows = batch.select("user_id", "ts", "value").collect()
     user = min(out)
     last = max(r["ts"] for r in rows if r["user_id"] == user)

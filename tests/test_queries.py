@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from parlance.plans import studies  # noqa: F401
+from parlance.plans import more, studies  # noqa: F401
 from parlance.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
