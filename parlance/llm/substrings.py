@@ -40,6 +40,8 @@ COMBINED = 5 << 20
 #: Bytes of stored input for each group of documents and each group of triggers.
 GROUP_BYTES = 2 << 20
 
+#: Parts into which the dictionary of a group of triggers is dealt once more, as its suffix array takes some 50 times its bytes.
+PARTS = 4
 #: Documents of the sample that finds hot triggers, and the least number and share of them that such a one stands in.
 SAMPLED, HOT_LEAST, HOT_SHARE = 20_000, 50, 0.005
 
@@ -217,7 +219,7 @@ def _settle_phrases(groups: int) -> Callable:
                 items = np.add.reduceat(new_item.astype(np.int64), np.flatnonzero(new_trigger))
                 doubtful &= (items > 1)[group] & (most > least)[group]
             out = np.empty(int(doubtful.sum()), EDGE_PLACE)
-            out["bucket"] = bucket
+            out["bucket"] = bucket + groups * (rows["trigger"][doubtful] % PARTS)  # phrases of one trigger stay together
             for name in PLACE.names:
                 out[name] = rows[name][doubtful]
             edges[kind] = out
@@ -322,7 +324,7 @@ def _dealt(ids: list, texts: list[bytes], table: pa.Table, length: int, buckets:
                 single["start"] += (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint32)
                 single["count"] = 1
                 rows = single[np.unique(single["start"], return_index=True)[1]]
-                rows["bucket"] = _stretch_hashes(np.frombuffer(text, np.uint8), rows["start"].astype(np.int64), length) % np.uint64(buckets)
+                rows["bucket"] = _stretch_hashes(np.frombuffer(text, np.uint8), rows["start"].astype(np.int64), length) % np.uint64(buckets * PARTS)
             rows = rows[np.argsort(rows["bucket"], kind="stable")]
             starts = np.flatnonzero(np.concatenate([[True], rows["bucket"][1:] != rows["bucket"][:-1]]))
             for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
