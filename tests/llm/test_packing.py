@@ -80,3 +80,21 @@ def test_merge_uses_every_rank_once(classes):
                 assert (c, r) not in used
                 used[c, r] = True
     assert len(used) == sum(n for _, n in classes)
+
+
+def _whole(texts):
+    ids = packing._word_ids(tokenizer_path())
+    return list(ids([t.encode() for t in texts])), [np.array(ids.encode(ids.whole, t), "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("table", ["documents", "conversations", "benchmark"])
+def test_ids_are_the_tokenizers_on_whole_tables(spark, small, table):
+    found, want = _whole([r["text"] for r in spark.read.parquet(f"{small}/{table}.parquet").select("text").collect() if r["text"]])
+    assert found == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abZ19 .,!?*$#%&()[]\"'|<>-_:;/\n\u201d\u2014\u2026\u00b0\u00e9\u0301\u00ad\u00df\u65e5", max_size=40))
+def test_ids_are_the_tokenizers_on_runs_of_marks(text):
+    found, want = _whole([text])
+    assert found == want
