@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from . import kernels
 from .similarity import pearson_pairs
 
@@ -131,20 +132,30 @@ def entity_embeddings(ppmi: DataFrame, components: int = 24) -> DataFrame:
 
 
 def entity_groups(cosines: DataFrame, least: float = 0.6) -> DataFrame:
-    """Groups of entities linked by cosine of at least ``least``: DBSCAN with two points a core, so linked components."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        items = sorted({int(x) for x in rows["a"]} | {int(x) for x in rows["b"]})
-        if len(items) > kernels.MAX_SIDE:
-            raise ValueError(f"{len(items)} entities in one matrix; at most {kernels.MAX_SIDE}")
-        at = {x: i for i, x in enumerate(items)}
-        close = np.zeros((len(items),) * 2, bool)
-        hit = rows[rows["cosine"] >= least]
-        i, j = hit["a"].map(at).to_numpy(int), hit["b"].map(at).to_numpy(int)
-        close[i, j] = close[j, i] = True
-        return pd.DataFrame({"entity_id": items, "group_id": kernels.density_clusters(close, 2)})
-
-    return cosines.groupBy(F.lit(0).alias("one")).applyInPandas(run, "entity_id long, group_id int")
+    """(entity_id, group_id): entities linked by cosine of at least ``least``: DBSCAN with two points a core, so linked components.
+
+    A group's id is its smallest entity; -1 is an entity without a link. Each round takes the smallest label next to
+    an entity, then that label's own label, and is a checkpoint, so paths shorten by more than a link a round.
+    """
+    spark = cosines.sparkSession
+    place = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(place)
+    pairs = cosines.select("a", "b", (F.col("cosine") >= least).alias("near"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
+    known = both.groupBy("a", "b").agg(F.max("near").alias("near")).checkpoint()
+    links = known.where("near").select("a", "b")
+    labels = links.groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
+    moving = True
+    while moving:
+        near = links.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        moved = labels.join(near, "a").select("a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        up = moved.select(F.col("a").alias("label"), F.col("label").alias("up"))
+        moved = moved.join(up, "label").select("a", "old", F.col("up").alias("label")).checkpoint()
+        moving = not moved.where("label <> old").isEmpty()
+        labels = moved.select("a", "label")
+    rows = known.select("a").distinct().join(labels, "a", "left")
+    return rows.select(F.col("a").alias("entity_id"), F.coalesce("label", F.lit(-1)).cast("long").alias("group_id"))
 
 
 def topic_clusters(counts: DataFrame, mentions: DataFrame, entities: DataFrame, reach: float = 0.7, least: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import r6
+from ..functions.text import normalize_name, sequence_ratio
 from .rollups import between
 
 def readings() -> list:
@@ -136,15 +137,35 @@ def search(mentions: DataFrame, entities: DataFrame, query: str, limit: int = 15
 
 
 def merge_exact(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """For every entity the canonical one of its merge key: the most mentioned name of the group, by id on a tie."""
+    """For every entity the canonical one of its merge key, the normalised name in lower case: the most mentioned of the group, by id on a tie."""
     counts = mentions.groupBy(F.col("raw_id").alias("id")).agg(F.count("*").alias("mentions"))
-    key = F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))).alias("merge_key")
+    key = F.lower(normalize_name("name", "entity_type")).alias("merge_key")
     rows = entities.join(counts, "id", "left").select("id", key, F.coalesce("mentions", F.lit(0)).alias("mentions"))
     # the winner by aggregation: a hot key then meets its members in a join that can be split
     winner = rows.groupBy("merge_key").agg(F.max_by("id", F.struct("mentions", -F.col("id"))).alias("merged_into"), F.count("*").alias("members"), F.sum("mentions").alias("group_mentions"))
     return rows.join(winner, "merge_key").select("id", "merge_key", "mentions", "merged_into", "members", "group_mentions")
 
 
+def fuzzy_review(names: DataFrame, least: float = 0.85, prefix: int = 2) -> DataFrame:
+    """(a, b, ratio): different names, in lower case, with the same first letters and a ``sequence_ratio`` of ``least`` or more; for review.
+
+    Names whose lengths alone rule that out never meet, as lengths are part of the join's key; those with too few
+    letters in common (counted in 32 bins, which can only add to them) go before texts are compared.
+    """
+    keys = names.select(F.lower("name").alias("name")).where("name <> ''").distinct()
+    letters = F.split("name", "")
+    bins = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.size(F.filter(letters, lambda c: (c != "") & (F.ascii(c) % 32 == i))))
+    keys = keys.select("name", F.substring("name", 1, prefix).alias("block"), F.length("name").alias("n"), bins.alias("bins"))
+    shortest = F.ceil(F.col("n") * (least / (2 - least)) - 1e-9).cast("int")
+    longer = keys.withColumn("other", F.explode(F.sequence(shortest, "n"))).alias("l")
+    pairs = longer.join(keys.alias("s"), (F.col("l.block") == F.col("s.block")) & (F.col("l.other") == F.col("s.n")))
+    pairs = pairs.where((F.col("s.n") < F.col("l.n")) | (F.col("s.name") < F.col("l.name")))
+    common = F.aggregate(F.zip_with("l.bins", "s.bins", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    near = pairs.where(2 * common >= least * (F.col("l.n") + F.col("s.n")) - 1e-9)
+    near = near.select(F.least("l.name", "s.name").alias("a"), F.greatest("l.name", "s.name").alias("b"))
+    return near.withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
+
+
 def duplicate_groups(mentions: DataFrame, entities: DataFrame, least: int = 1) -> DataFrame:
     """Names with several types: their types, and ids from the most mentioned on."""
     counts = mentions.groupBy(F.col("raw_id").alias("id")).agg(F.count("*").alias("k"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixtures import TYPES, _sql_case
 from ..functions import text as T
 from ..operators import entities, lookups, narrative
 from .queries import AVGS, COUNTRY, END, ORACLES, QUARTER, SOURCE, YEAR, quarter_cells, query, r
@@ -12,7 +13,7 @@ LABELS = [
     "Person", " political leader ", "political_leader", "Sovereign State", "people", "criminal_organization", "police_officer", "sports team", "Regional Bloc", "trade bloc", "tech company", "central bank",
     "presidential election", "trade war", "city", "geological formation", "think tank", "broadcaster", "currency", "sport", "unknown", "concept", "", "COUNTRY", "identity group", "government agency", "major corporation", "news media",
 ]
-_PARTS = " ".join(f"WHEN regexp_matches(t, '{'|'.join(parts)}') THEN '{kind}'" for parts, kind in T.TYPES_OF_PARTS)
+_PARTS = " ".join(f"WHEN regexp_matches(t, '{'|'.join(parts)}') THEN '{kind}'" for parts, kind in [(T.COLLECTIVE, "organization"), *T.TYPES_OF_PARTS])
 _KNOWN = " ".join(f"WHEN t = '{label}' THEN '{kind}'" for label, kind in [*((x, x) for x in T.ENTITY_TYPES), *T.TYPES_OF_LABELS.items()])
 
 
@@ -23,6 +24,32 @@ def _(t):
     return labels.select("label", T.map_type("label").alias("entity_type"))
 
 
+NAMES = [
+    ("President Joe Smith", "person"), ("prime minister  Ann Lee", "political_leader"), ("Dr. Sir Tom Hill", None), ("General Mills", "company"), ("“North Sea”. ", "concept"), ("People: Li Na", "person"),
+    ("Star Trek: Picard", "concept"), ("Green Party (GP)", "organization"), ("Muslim League (N)", "organization"), ("Old Party (UBT)", "organization"), ("Left Front (Maoist)", "organization"), ("Samsung Electronics Co., Ltd", "business"),
+    ("Tesla, Inc", "organization"), ("Nvidia Corporation", "organization"), ("News Corp", "organization"), ("Blue Sky Corp.", "business"), ("Mars, Incorporated", "organization"), ("Mars, Incorporated", "concept"), ("u.s.", "country"), ("EU", None), ("", "person"),
+]
+_W = {k: "|".join(v).replace(".", r"\.") for k, v in (("titles", sorted(T.TITLES, key=len, reverse=True)), ("categories", T.CATEGORIES), ("endings", T.ENDINGS), ("short", T.SHORT_ENDINGS))}
+_S = lambda x: "'" + x.replace("'", "''") + "'"
+_ENDINGS = rf"(?:(?:,\s*|\s+)(?:{_W['endings']})\.?|,\s*(?:{_W['short']})\.?)+$"
+_GIVEN = ", ".join(f"({_S(n)}, {_S(k) if k is not None else 'NULL'})" for n, k in NAMES)
+_ALIASES = " ".join(f"WHEN {_S(a)} THEN {_S(c)}" for a, c in T.ALIASES.items())
+
+
+@query("name_normalize", rf"""WITH n AS (SELECT p_name AS given, {_sql_case("p_type", TYPES)} AS kind FROM part UNION ALL SELECT * FROM (VALUES {_GIVEN})),
+a AS (SELECT given, kind, trim(regexp_replace(translate(given, '’‘“”', '''''""'), '\s+', ' ', 'g'), ' "''.,;:') AS s FROM n),
+b AS (SELECT given, kind, regexp_replace(s, '^(?:{_W["categories"]})\s*:\s+', '', 'i') AS s FROM a),
+c AS (SELECT given, kind, s, regexp_extract(s, '\(([^()\s]{{2,12}})\)$', 1) AS mark FROM b),
+d AS (SELECT given, kind, CASE WHEN length(regexp_replace(mark, '[^A-Z]', '', 'g')) >= 2 AND lower(mark) NOT IN ('ubt', 'sp') THEN regexp_replace(s, '\s*\([^()\s]*\)$', '') ELSE s END AS s FROM c),
+e AS (SELECT given, kind, CASE WHEN kind IN ('organization', 'organisation', 'business', 'company', 'political_party') AND lower(s) NOT IN ('mars, incorporated', 'mars inc') THEN
+  regexp_replace(regexp_replace(regexp_replace(s, '{_ENDINGS}', '', 'i'), '^(\S+\s.*\S)\s+(?:{_W["short"]})\.?$', '\1', 'i'), '{_ENDINGS}', '', 'i') ELSE s END AS s FROM d),
+f AS (SELECT given, kind, CASE WHEN coalesce(kind, '') IN ('', 'person', 'political_leader') THEN regexp_replace(s, '^(?:(?:{_W["titles"]})\.?\s+)+', '', 'i') ELSE s END AS s FROM e)
+SELECT given, kind, CASE lower(s) {_ALIASES} ELSE s END AS name FROM f""", with_views=False)
+def _(t):
+    rows = t.entities.select(F.col("name").alias("given"), F.col("entity_type").alias("kind")).unionByName(t.spark.createDataFrame(NAMES, "given string, kind string"))
+    return rows.withColumn("name", T.normalize_name("given", "kind"))
+
+
 SITES = ["https://www.nytimes.com/2024/a", "http://edition.CNN.com/x", "https://abcnews.go.com/y", "https://example.org/cnn.com", "ftp://m.time.com", "no url", "https://sometimes.com/"]
 
 

@@ -637,7 +637,9 @@ def _(t):
     return rows.select("entity_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query("entity_dbscan")
+@query("entity_dbscan", "WITH RECURSIVE c AS (" + ORACLES["entity_cosine"] + """), e AS (SELECT a, b FROM c WHERE cosine >= 0.6 UNION ALL SELECT b, a FROM c WHERE cosine >= 0.6),
+reach AS (SELECT a AS id, a AS node FROM e UNION SELECT id, b FROM reach JOIN e ON node = a), g AS (SELECT id, min(node) AS root FROM reach GROUP BY id)
+SELECT entity_id, coalesce(root, -1)::BIGINT AS group_id FROM (SELECT a AS entity_id FROM c UNION SELECT b FROM c) LEFT JOIN g ON id = entity_id""", with_views=False)
 def _(t):
     return clustering.entity_groups(similarity.entity_cosine(similarity_cells(t)), 0.6)
 
@@ -662,17 +664,11 @@ def _(t):
     return clustering.layered_significance(publishers.layers(t.mentions))
 
 
-@query("name_normalize")
-def _(t):
-    return t.entities.select("id", T.normalize_name("name", "entity_type").alias("name"))
-
-
 @query("fuzzy_review_band")
 def _(t):
-    names = t.entities.select(F.lower("name").alias("name")).distinct().withColumn("block", F.substring("name", 1, 2))
-    a, b = names.alias("a"), names.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.name") < F.col("b.name"))).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
-    return pairs.withColumn("ratio", T.sequence_ratio("a", "b")).where("ratio >= 0.85")
+    # the tables' names are far apart, so spellings of some of them come with them
+    spellings = t.spark.createDataFrame([(x,) for x in ("small rings", "red widgett", "blue bolts", "hot gears", "small gizmos", "smal gizmo", "hot geear")], "name string")
+    return entities.fuzzy_review(t.entities.select(T.normalize_name("name", "entity_type").alias("name")).unionByName(spellings))
 
 
 @query("html_to_text")
@@ -680,7 +676,8 @@ def _(t):
     return t.table("pages").select("page_id", T.html_article("html").alias("h")).select("page_id", "h.title", "h.text", "h.published")
 
 
-@query("jsonl_ingest")
+@query("jsonl_ingest", f"""d AS (SELECT CAST(article_id AS VARCHAR) AS article_id, country, CAST(raw_id AS VARCHAR) AS name, 'country' AS entity_type, coalesce(power, 0) AS power, coalesce(moral, 0) AS moral FROM mentions)
+SELECT article_id, country, name, entity_type, {r('power')} AS power, {r('moral')} AS moral FROM d""")
 def _(t):
     from ..sources.readers import parse_results
 
@@ -691,12 +688,15 @@ def _(t):
     return parse_results(lines.select(line.alias("value")))[0]
 
 
-@query("snapshot_export")
+@query("snapshot_export", """d AS (SELECT entity_id, publish_date, avg(power) AS avg_power, avg(moral) AS avg_moral, count(*) AS mentions FROM mentions GROUP BY ALL)
+SELECT entity_id, publish_date, round(avg_power, 4) + 0.0 AS avg_power, round(avg_moral, 4) + 0.0 AS avg_moral, mentions FROM d""")
 def _(t):
     from ..sources.writers import rounded_json
 
+    # the lines as they are written, read back
     rows = entities.daily(t.mentions)
-    return rows.select("entity_id", "publish_date", rounded_json(rows).alias("json"))
+    lines = rows.select(rounded_json(rows).alias("json")).select(F.from_json("json", rows.schema).alias("r")).select("r.*")
+    return lines
 
 
 def _stream(name: str, build: Callable, mode: str = "append"):

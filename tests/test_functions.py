@@ -5,7 +5,7 @@ import json
 import pytest
 
 from parlance.functions import stats, text
-from parlance.operators import narrative, rollups
+from parlance.operators import clustering, entities, narrative, rollups
 from parlance.sources import readers, writers
 
 
@@ -48,6 +48,49 @@ def test_names(spark, name, kind, out):
     assert rows.select(text.normalize_name("n", "k")).first()[0] == out
 
 
+def test_name_rules():
+    assert text.normalize_one("Liberal Front (J)", "organization") == "Liberal Front (J)"
+    assert text.normalize_one("Old Party (SP)", "organization") == "Old Party (SP)"
+    assert text.normalize_one("Samsung Electronics Co., Ltd", "business") == "Samsung Electronics"
+    assert text.normalize_one("News Corp", "organization") == "News Corp"
+    assert text.normalize_one("General Mills", "company") == "General Mills"
+    assert text.normalize_one("Vice President Kim Roe", "") == "Kim Roe"
+    assert text.normalize_one("Mars Inc", "business") == "Mars Inc"
+
+
+def test_aliases_as_a_table(spark):
+    rows = spark.createDataFrame([(1, "Joseph Roe"), (2, "Joe Roe"), (3, None)], "id long, name string")
+    table = spark.createDataFrame([("joseph roe", "Joe Roe"), ("JOSEPH ROE", "Joseph R"), (None, "x")], "alias string, canonical string")
+    assert {r.id: r.name for r in text.with_aliases(rows, table).collect()} == {1: "Joe Roe", 2: "Joe Roe", 3: None}
+
+
+def test_merge_by_normalised_names(spark):
+    rows = [(1, "Joe Roe", "person"), (2, "President Joe Roe", "person"), (3, "joe roe", "person"), (4, "Tesla, Inc", "business"), (5, "Tesla", "business"), (6, "President", "person")]
+    names = spark.createDataFrame(rows, "id long, name string, entity_type string")
+    seen = spark.createDataFrame([(1,), (1,), (5,)], "raw_id long")
+    assert {r.id: r.merged_into for r in entities.merge_exact(seen, names).collect()} == {1: 1, 2: 1, 3: 1, 4: 5, 5: 5, 6: 6}
+
+
+def test_fuzzy_review_equals_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    draw = random.Random(5)
+    names = {"alpha", "alpah", "", "ab", "abc", "élan vital", "élan vitale"} | {"ab" + "".join(draw.choice("abcd") for _ in range(draw.randint(0, 14))) for _ in range(150)}
+    rows = spark.createDataFrame([(n,) for n in [*names, None, "ALPHA"]], "name string")
+    want = {(a, b) for a in names for b in names if a and a < b and a[:2] == b[:2] and SequenceMatcher(None, a, b).ratio() >= 0.85}
+    got = [(r.a, r.b) for r in entities.fuzzy_review(rows).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_linked_groups_equal_components(spark):
+    chain = [(i, i + 1, 0.9) for i in range(10, 40)] + [(3, 9, 0.7), (1, 2, 0.5), (2, 40, 0.59)]
+    rows = spark.createDataFrame(chain, "a long, b long, cosine double")
+    want = {i: 10 for i in range(10, 41)} | {3: 3, 9: 3, 1: -1, 2: -1}
+    assert {r.entity_id: r.group_id for r in clustering.entity_groups(rows).collect()} == want
+    assert clustering.entity_groups(rows.where("a < 0")).count() == 0
+
+
 def test_html(spark):
     page = "<html><head><title>A &amp; B</title></head><body><nav>menu</nav><main>x<article><p>One</p> <script>no</script><p>two</p></article></main><time datetime='2024-01-02'></time></body>"
     assert text.extract_article(page) == ("A & B", "One two", "2024-01-02")
