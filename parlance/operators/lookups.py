@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rollups import with_totals
+
 #: Types that name the same kind of entity.
 COMPATIBLE = (("person", "political_leader"), ("country", "sovereign_state"), ("organization", "company"), ("location", "place"))
 
@@ -65,6 +67,34 @@ def entity_drift(events: DataFrame, entity_id: int) -> DataFrame:
     return events.where(F.col("entity_id") == entity_id)
 
 
+def source_drift(drift: DataFrame, source_id: int, start: str, top: int = 20) -> DataFrame:
+    """One source's period changes from ``start`` on, of its ``top`` entities by mentions, with the sum of absolute changes."""
+    rows = drift.where((F.col("source_id") == source_id) & (F.col("period_start") >= F.lit(start).cast("date")))
+    busy = rows.groupBy("entity_id").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "entity_id").limit(top)
+    rows = rows.join(busy.select("entity_id"), "entity_id", "left_semi")
+    return with_totals(rows, total_change=F.sum(F.abs("change")))
+
+
+def repeated_names(entities: DataFrame, limit: int = 20) -> DataFrame:
+    """The names of most entities, with their types and ids in order of id."""
+    groups = entities.groupBy("name").agg(F.count("*").alias("members"), F.array_sort(F.collect_list(F.struct("id", "entity_type"))).alias("all"))
+    rows = groups.where("members > 1").orderBy(F.desc("members"), "name").limit(limit)
+    return rows.select("name", "members", F.col("all.entity_type").alias("types"), F.col("all.id").alias("ids"))
+
+
+def duplication(entities: DataFrame) -> DataFrame:
+    """One row: entities, distinct names, names of several entities, and the percentage of entities whose name another one has first."""
+    names = entities.groupBy("name").agg(F.count("*").alias("n"))
+    totals = names.agg(F.sum("n").alias("entities"), F.count("name").alias("names"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return totals.withColumn("duplicate_pct", F.try_divide((F.col("entities") - F.col("names")) * 100.0, "entities"))
+
+
+def latest_batches(articles: DataFrame, batch: str, attempt: str, limit: int = 5) -> DataFrame:
+    """The last batches by their latest attempt, with their articles."""
+    rows = articles.where(F.col(batch).isNotNull()).groupBy(batch).agg(F.max(attempt).alias("last_attempt"), F.count("*").alias("articles"))
+    return rows.orderBy(F.desc("last_attempt"), batch).limit(limit)
+
+
 def spend_since_midnight(ledger: DataFrame, as_of: str) -> DataFrame:
     """One row: the sum of (cost, submitted_at) since the midnight before ``as_of``; 0 without any."""
     at = F.lit(as_of).cast("timestamp_ntz")

@@ -117,6 +117,18 @@ def sliding_mean(mentions: DataFrame, entity_id: int, days: int = 7, dimension:
     return daily.select("publish_date", (F.sum("s").over(span) / F.sum("k").over(span)).alias("value"), F.sum("k").over(span).alias("mentions"))
 
 
+def tracking(mentions: DataFrame, entity_id: int, days: int = 7, dimension: str = "power", most: int = 30) -> DataFrame:
+    """The sliding mean as a chart shows it: ``days`` readings or fewer come as they are; of over ``most`` points every (n // most + 1)-th, from the first."""
+    rows = mentions.where((F.col("entity_id") == entity_id) & F.col(dimension).isNotNull())
+    few = F.broadcast(rows.agg((F.count("*") <= days).alias("few")))  # one row
+    raw = rows.select("publish_date", F.col(dimension).alias("value"), F.lit(1).cast("long").alias("mentions"))
+    points = sliding_mean(mentions, entity_id, days, dimension).crossJoin(few).where("NOT few")
+    # a window over days, not mentions
+    points = points.withColumns({"i": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("publish_date")) - 1, "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    step = F.when(F.col("n") > most, F.floor(F.col("n") / most) + 1).otherwise(1)
+    return raw.crossJoin(few).where("few").drop("few").unionByName(points.where(F.col("i") % step == 0).drop("few", "i", "n"))
+
+
 def global_band(mentions: DataFrame, entity_id: int, without_source: int, dimension: str = "power") -> DataFrame:
     """Daily mean of all other sources with a 95 % interval."""
     rows = mentions.where((F.col("entity_id") == entity_id) & (F.col("source_id") != without_source) & F.col(dimension).isNotNull())
@@ -133,9 +145,12 @@ def decayed(mentions: DataFrame, entity_id: int, as_of: str, scale_days: float =
     return rows.groupBy(F.round(dimension, 6).alias("score")).agg(F.sum("copies").alias("copies"), F.count("*").alias("mentions"))
 
 
-def density(mentions: DataFrame, entity_id: int, dimension: str = "moral", points: int = 121, layer: str | None = None, least: int = 5) -> DataFrame:
+def density(mentions: DataFrame, entity_id: int, dimension: str = "moral", points: int = 121, layer: str | None = None, least: int = 5, bins: int = 0) -> DataFrame:
     """Gaussian kernel density on a grid over [-2, 2] (Scott's bandwidth), of all or by ``layer``.
 
+    Layers of fewer than ``least`` readings, or of one score, are left out; with ``bins`` they get a histogram of so
+    many bins, drawn straight from middle to middle and zero beyond the outer middles.
+
     Kernels are summed over distinct scores with counts, so the grid meets few rows whatever the mentions.
     """
     keys = [layer] if layer else []
@@ -146,8 +161,16 @@ def density(mentions: DataFrame, entity_id: int, dimension: str = "moral", point
     scores = scores.withColumns({"n": n, "mean": F.sum(F.col("k") * F.col("x")).over(per) / n, "squares": F.sum(F.col("k") * F.col("x") * F.col("x")).over(per)})
     variance = F.try_divide(F.col("squares") - F.col("n") * F.col("mean") * F.col("mean"), F.col("n") - 1)
     scores = scores.withColumn("h", F.sqrt(F.greatest(F.lit(0.0), variance)) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    scores = scores.where((F.col("n") >= least) & (F.col("h") > 1e-9)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    at = F.col("i") * (4.0 / (points - 1)) - 2
-    z = (at - F.col("x")) / F.col("h")
-    out = scores.groupBy(*keys, "i", "n", "h").agg(F.sum(F.col("k") * F.exp(-0.5 * z * z)).alias("s"))
-    return out.select(*keys, "i", (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))).alias("density"))
+    smooth = F.coalesce((F.col("n") >= least) & (F.col("h") > 1e-9), F.lit(False))
+    grid = scores.withColumns({"smooth": smooth, "i": F.explode(F.sequence(F.lit(0), F.lit(points - 1)))})
+    z = (F.col("i") * (4.0 / (points - 1)) - 2 - F.col("x")) / F.col("h")
+    out = grid.where("smooth").groupBy(*keys, "i", "n", "h").agg(F.sum(F.col("k") * F.exp(-0.5 * z * z)).alias("s"))
+    out = out.select(*keys, "i", (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))).alias("density"))
+    if not bins:
+        return out
+    # places in bins, counted from the middle of the first one
+    place = F.round(F.col("i") * (bins / (points - 1)) - 0.5, 9)
+    own = F.least(F.lit(bins - 1), F.floor(F.round((F.col("x") + 2) * (bins / 4), 9)))
+    part = F.when(place.between(0, bins - 1), F.greatest(F.lit(0.0), 1 - F.abs(place - own))).otherwise(0.0)
+    rest = grid.where("NOT smooth").groupBy(*keys, "i", "n").agg(F.sum(F.col("k") * part).alias("s"))
+    return out.unionByName(rest.select(*keys, "i", (F.col("s") / F.col("n") * (bins / 4)).alias("density")))

@@ -146,6 +146,15 @@ def poll_readings(polls: DataFrame, mentions: DataFrame, days: int = 30) -> Data
     return rows.groupBy("poll_id", "entity_id", "value_pct").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("reading"), F.sum("n").alias("n"))
 
 
+def poll_lead_lag(polls: DataFrame, mentions: DataFrame, most: int = 6, days: int = 30, least: int = 4) -> DataFrame:
+    """(entity_id, shift, rho, n): Spearman's r of polls and readings from windows up to ``most`` months of 30 days earlier (positive: readings lead) or later."""
+    moved = polls.withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    back = F.col("shift") * -30
+    moved = moved.withColumns({"field_start": F.date_add("field_start", back), "field_end": F.date_add("field_end", back), "poll_id": F.struct("poll_id", "shift")})
+    readings = poll_readings(moved, mentions, days).withColumn("shift", F.col("poll_id.shift"))
+    return spearman(readings, "value_pct", "reading", ("entity_id", "shift"), least).where(F.col("n") >= least)
+
+
 def entity_cosine(cells: DataFrame, least: int = 3) -> DataFrame:
     """Cosine of entities over sources (missing cells are zero), of pairs that share a source."""
     norms = cells.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.count("*").alias("k")).where((F.col("k") >= least) & (F.col("norm") > 1e-9))

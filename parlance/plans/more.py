@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..fixtures import TYPES, _sql_case
 from ..functions import text as T
-from ..operators import entities, lookups, narrative
-from .queries import AVGS, COUNTRY, END, ORACLES, QUARTER, SOURCE, YEAR, quarter_cells, query, r
+from ..operators import entities, lookups, narrative, rollups, similarity
+from .queries import AVGS, COUNTRY, END, ENTITY, ORACLES, QUARTER, SERIES, SOURCE, YEAR, guarded, quarter_cells, query, r, source_series
 
 LABELS = [
     "Person", " political leader ", "political_leader", "Sovereign State", "people", "criminal_organization", "police_officer", "sports team", "Regional Bloc", "trade bloc", "tech company", "central bank",
@@ -155,3 +155,64 @@ def _(t):
     texts = t.table("documents").agg(F.count("text").alias("with_text"), F.avg(F.length("text")).alias("avg_length"), F.max(F.length("text")).alias("max_length"))
     # tables of one row
     return recent.crossJoin(top(t.articles, "source", "top_sources")).crossJoin(top(t.mentions, "entity_id", "top_entities")).crossJoin(texts)
+
+
+_SLIDING = ORACLES["tracking_sliding_mean"]
+
+
+@query("tracking_chart", f"""SELECT publish_date, value, mentions FROM (SELECT *, row_number() OVER (ORDER BY publish_date) - 1 AS i, count(*) OVER () AS n FROM ({_SLIDING})) WHERE i % CASE WHEN n > 30 THEN n // 30 + 1 ELSE 1 END = 0""", with_views=False)
+def _(t):
+    return narrative.tracking(t.mentions, ENTITY)
+
+
+@query("kde_source_or_histogram", f"""s AS (SELECT source_id, moral AS x, count(*) OVER w AS n, stddev_samp(moral) OVER w * pow(count(*) OVER w, -0.2) AS h FROM mentions WHERE entity_id = {ENTITY} AND moral IS NOT NULL WINDOW w AS (PARTITION BY source_id)),
+k AS (SELECT *, n >= 5 AND coalesce(h, 0) > 1e-9 AS smooth FROM s), g AS (SELECT unnest(range(0, 121))::INT AS i),
+v AS (SELECT source_id, n, least(19, floor(round((x + 2) * 5, 9)))::INT AS bin FROM k WHERE NOT smooth), b AS (SELECT source_id, bin, count(*) / any_value(n) / 0.2::DOUBLE AS d FROM v GROUP BY source_id, bin),
+f AS (SELECT DISTINCT source_id FROM b), e AS (SELECT f.source_id, m.bin, coalesce(b.d, 0) AS d FROM f CROSS JOIN (SELECT unnest(range(0, 20))::INT AS bin) m LEFT JOIN b ON b.source_id = f.source_id AND b.bin = m.bin)
+SELECT source_id, i, {r('sum(exp(-0.5 * ((i / 30::DOUBLE - 2 - x) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))')} AS density FROM k, g WHERE smooth GROUP BY source_id, i
+UNION ALL SELECT f.source_id, i, {r('CASE WHEN i BETWEEN 3 AND 117 THEN lo.d + (coalesce(hi.d, lo.d) - lo.d) * ((i - 3) % 6) / 6::DOUBLE ELSE 0 END')} AS density
+FROM f CROSS JOIN g LEFT JOIN e lo ON lo.source_id = f.source_id AND lo.bin = (i - 3) // 6 AND i >= 3 LEFT JOIN e hi ON hi.source_id = f.source_id AND hi.bin = (i - 3) // 6 + 1 AND i >= 3""")
+def _(t):
+    return narrative.density(t.mentions, ENTITY, layer="source_id", bins=20)
+
+
+@query("poll_lead_lag", f"""p AS (SELECT o_orderkey % 40 AS entity_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS lo, max(o_totalprice) AS value_pct FROM orders GROUP BY ALL), sh AS (SELECT unnest(range(-6, 7))::INT AS shift),
+dm AS (SELECT entity_id, publish_date, sum(moral) AS s, count(moral) AS k FROM mentions GROUP BY ALL),
+rd AS (SELECT p.entity_id, shift, lo, value_pct, sum(s) / nullif(sum(k), 0) AS reading FROM p CROSS JOIN sh JOIN dm ON dm.entity_id = p.entity_id AND publish_date BETWEEN lo - shift * 30 - 30 AND lo - shift * 30 + 7 + 30 GROUP BY ALL),
+rk AS (SELECT entity_id, shift, rank() OVER (PARTITION BY entity_id, shift ORDER BY value_pct) + (count(*) OVER (PARTITION BY entity_id, shift, value_pct) - 1) / 2 AS x, rank() OVER (PARTITION BY entity_id, shift ORDER BY reading) + (count(*) OVER (PARTITION BY entity_id, shift, reading) - 1) / 2 AS y FROM rd WHERE reading IS NOT NULL)
+SELECT entity_id, shift, {r(guarded('x', 'y', 4))} AS rho, count(*) AS n FROM rk GROUP BY entity_id, shift HAVING count(*) >= 4""")
+def _(t):
+    # the dearest order of each entity and month is its poll
+    month = F.to_date(F.date_trunc("month", "o_orderdate"))
+    polls = t.table("orders").groupBy((F.col("o_orderkey") % 40).alias("entity_id"), month.alias("field_start")).agg(F.max("o_totalprice").alias("value_pct"))
+    polls = polls.withColumns({"field_end": F.date_add("field_start", 7), "poll_id": F.col("field_start")})
+    return similarity.poll_lead_lag(polls, t.mentions)
+
+
+@query("source_drift_top", f"""SELECT *, round(sum(abs(change)) OVER (), 6) AS total_change FROM (SELECT * FROM ({ORACLES['weekly_drift']}) WHERE source_id = {SOURCE} AND period_start >= DATE '{YEAR}') d
+WHERE entity_id IN (SELECT entity_id FROM ({ORACLES['weekly_drift']}) WHERE source_id = {SOURCE} AND period_start >= DATE '{YEAR}' GROUP BY entity_id ORDER BY sum(n) DESC, entity_id LIMIT 20)""", with_views=False)
+def _(t):
+    # the changes as they are published, to 6 places
+    return lookups.source_drift(entities.rounded(rollups.period_drift(quarter_cells(t))), SOURCE, YEAR)
+
+
+@query("repeated_names", "d AS (SELECT name, count(*) AS members, array_to_string(list(entity_type ORDER BY id), '|') AS types, array_to_string(list(id ORDER BY id), '|') AS ids FROM entities GROUP BY name HAVING count(*) > 1 ORDER BY members DESC, name LIMIT 20) SELECT * FROM d")
+def _(t):
+    return lookups.repeated_names(t.entities).withColumns({"types": F.array_join("types", "|"), "ids": F.array_join("ids", "|")})
+
+
+@query("duplication", "n AS (SELECT name, count(*) AS n FROM entities GROUP BY name) SELECT sum(n)::BIGINT AS entities, count(name) AS names, count(*) FILTER (WHERE n > 1) AS repeated, round((sum(n) - count(name)) * 100::DOUBLE / sum(n), 6) AS duplicate_pct FROM n")
+def _(t):
+    return lookups.duplication(t.entities)
+
+
+@query("latest_batches", "d AS (SELECT CAST(date_trunc('month', scraped_at) AS DATE) AS batch, max(scraped_at) AS last_attempt, count(*) AS articles FROM articles GROUP BY batch ORDER BY last_attempt DESC, batch LIMIT 5) SELECT * FROM d")
+def _(t):
+    return lookups.latest_batches(t.articles.withColumn("batch", F.to_date(F.date_trunc("month", "scraped_at"))), "batch", "scraped_at")
+
+
+@query("synchrony_all", SERIES + f""", pr AS (SELECT a.source_id AS x, b.source_id AS y, {guarded('a.change', 'b.change', 5)} AS r FROM ch a JOIN ch b ON a.period_start = b.period_start AND a.source_id < b.source_id GROUP BY ALL)
+SELECT 'all' AS grp, {r('abs(avg(r))')} AS synchrony, count(*) AS pairs FROM pr WHERE r IS NOT NULL HAVING count(*) > 0""")
+def _(t):
+    # what each group's synchrony is held against
+    return narrative.synchrony(source_series(t), t.sources.select("source_id", F.lit("all").alias("grp")), group="grp")

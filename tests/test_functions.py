@@ -91,6 +91,28 @@ def test_linked_groups_equal_components(spark):
     assert clustering.entity_groups(rows.where("a < 0")).count() == 0
 
 
+def test_few_readings_stay_as_they_are(spark):
+    rows = spark.sql("SELECT 1L AS entity_id, DATE'2024-01-01' + CAST(id AS INT) AS publish_date, CAST(id AS DOUBLE) AS power FROM range(100)")
+    few = narrative.tracking(rows.where("power < 5"), 1).collect()
+    assert sorted(r.value for r in few) == [0, 1, 2, 3, 4] and {r.mentions for r in few} == {1}
+    many = sorted(narrative.tracking(rows, 1).collect())
+    assert len(many) == 25 and many[1].value == 2 and many[-1].mentions == 8
+    assert narrative.tracking(rows, 2).count() == 0
+
+
+def test_histogram_where_no_kernel_fits(spark):
+    import numpy as np
+
+    scores = {1: [0.5, 0.5, 0.5, 0.5, 0.5, 0.5], 2: [-2.0, 2.0, 0.13]}
+    rows = spark.createDataFrame([(1, k, x) for k, xs in scores.items() for x in xs], "entity_id long, source_id long, moral double")
+    got = {(r.source_id, r.i): r.density for r in narrative.density(rows, 1, layer="source_id", bins=20).collect()}
+    for k, xs in scores.items():
+        heights, edges = np.histogram(xs, 20, (-2, 2), density=True)
+        want = np.interp(np.arange(121) / 30 - 2, (edges[1:] + edges[:-1]) / 2, heights, 0, 0)
+        assert np.allclose([got[k, i] for i in range(3, 118)], want[3:118]) and got[k, 0] == got[k, 120] == 0
+    assert narrative.density(rows, 1, layer="source_id").count() == 0
+
+
 def test_html(spark):
     page = "<html><head><title>A &amp; B</title></head><body><nav>menu</nav><main>x<article><p>One</p> <script>no</script><p>two</p></article></main><time datetime='2024-01-02'></time></body>"
     assert text.extract_article(page) == ("A & B", "One two", "2024-01-02")
