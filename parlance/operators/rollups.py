@@ -123,7 +123,9 @@ def volatility(mentions: DataFrame, start: str, end: str, least_sources: int = 5
     rows = complete(between(mentions, start, end)).withColumn("s", (F.col("power") + F.col("moral")) / 2)
     per_source = rows.groupBy("entity_id", "source_id").agg(F.count("*").alias("k"), F.avg("s").alias("m"))
     per_entity = rows.groupBy("entity_id").agg(F.count("*").alias("mentions"), F.stddev_samp("s").alias("deviation"))
-    out = per_source.groupBy("entity_id").agg(F.count("*").alias("sources"), F.coalesce(F.var_samp(F.when(F.col("k") >= 2, F.col("m"))), F.lit(0.0)).alias("divergence"))
+    # without the noise of the order of sums, so that halves of the sixth place round one way
+    divergence = F.round(F.coalesce(F.var_samp(F.when(F.col("k") >= 2, F.col("m"))), F.lit(0.0)), 12)
+    out = per_source.groupBy("entity_id").agg(F.count("*").alias("sources"), divergence.alias("divergence"))
     out = per_entity.join(out, "entity_id").select("entity_id", "mentions", "sources", "deviation", "divergence")
     out = out.where((F.col("sources") >= least_sources) & (F.col("mentions") >= least_mentions))
     out = out.orderBy(F.desc(r6("deviation")), "entity_id").limit(limit)

@@ -436,7 +436,7 @@ def _(t):
 
 
 @query("entity_volatility", f"""m AS (SELECT *, (power + moral) / 2 AS s FROM mentions WHERE moral IS NOT NULL AND publish_date BETWEEN '{YEAR}' AND '{END}'), ps AS (SELECT entity_id, source_id, avg(s) AS a, count(*) AS k FROM m GROUP BY ALL),
-d AS (SELECT entity_id, coalesce(var_samp(a) FILTER (WHERE k >= 2), 0) AS divergence FROM ps GROUP BY entity_id), e AS (SELECT entity_id, count(*) AS mentions, count(DISTINCT source_id) AS sources, stddev_samp(s) AS deviation FROM m GROUP BY entity_id HAVING count(DISTINCT source_id) >= 5 AND count(*) >= 20)
+d AS (SELECT entity_id, round(coalesce(var_samp(a) FILTER (WHERE k >= 2), 0), 12) AS divergence FROM ps GROUP BY entity_id), e AS (SELECT entity_id, count(*) AS mentions, count(DISTINCT source_id) AS sources, stddev_samp(s) AS deviation FROM m GROUP BY entity_id HAVING count(DISTINCT source_id) >= 5 AND count(*) >= 20)
 SELECT entity_id, mentions, sources, {r('deviation')} AS deviation, {r('divergence')} AS divergence, {r('0.6 * divergence + 0.4 * deviation')} AS volatility FROM e JOIN d USING (entity_id)""")
 def _(t):
     return rollups.volatility(t.mentions, YEAR, END)
