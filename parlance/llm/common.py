@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words.
@@ -70,6 +70,24 @@ def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, group: str, keys: list[Column], name: str) -> DataFrame:
+    """``df`` with ``position`` (from 0, in order of ``keys`` within each value of ``group``) and ``total``, the group's rows.
+
+    Rows are dealt by ranges of (group, keys), so a group of any size stands in many partitions; each is sorted
+    and numbered by itself, and the counts of the ranges before give where it begins. ``group`` must not be null.
+    Rows with equal keys are numbered in any order, which stays the same as the numbers are written.
+    """
+    order = [F.col(group), *keys]
+    place = F.monotonically_increasing_id()  # partition, and the row's place in it
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", place), name)
+    rows = rows.withColumn("part", F.shiftright("place", 33))
+    parts = rows.groupBy(group, "part").agg(F.min("place").alias("begin"), F.count("*").alias("n"))
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(group, "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("begin")).alias("shift"), F.sum("n").over(whole).alias("total"))
+    return rows.join(parts, [group, "part"]).withColumn("position", F.col("place") + F.col("shift")).drop("place", "part", "shift")
+
+
 def release() -> None:
     """Give a worker's freed memory back, so that workers that outlive their task do not hold what it needed."""
     pa.default_memory_pool().release_unused()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language, mixing, packing, quality_classifier, quality_rules, quotations, simhash, substrings, url_filter
+from . import embedding_dedup, language, merkle, mixing, packing, quality_classifier, quality_rules, quotations, simhash, substrings, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_quality_rules": op2_quality_rules,
@@ -92,11 +96,13 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quotation_links": op9_quotation_links,
     "op10_remove_repeats": op10_remove_repeats,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op9_quotation_links": quotations.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
     "op8_url_filter": r"""
 WITH rules(host, path, verdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
