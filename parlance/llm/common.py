@@ -113,6 +113,18 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], limit: int, column: str) -> It
     release()
 
 
+def pieces(text: bytes, size: int, gaps: bytes) -> Iterator[bytes]:
+    """``text`` in pieces of about ``size`` bytes, cut behind one of the bytes of ``gaps``; without any, longer."""
+    start = 0
+    while start < len(text):
+        stop = start + size
+        if stop < len(text):
+            cut = max(text.rfind(bytes([g]), start, stop) for g in gaps)
+            stop = cut + 1 if cut >= start else min((x for g in gaps if (x := text.find(bytes([g]), stop)) >= 0), default=len(text))
+        yield text[start:stop]
+        start = stop
+
+
 def union_find(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest index of each one's component, after adding the links ``left[i] -- right[i]`` to those in ``label``."""
     while len(left):

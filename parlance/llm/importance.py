@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, materialize, numbered, release
+from .common import arrow_rows, discard, materialize, numbered, pieces, release
 from .merkle import CRC_TABLE, crc_sql
 
 #: Bytes of text for one stream, and of one piece of a long text.
@@ -45,27 +45,15 @@ class _Buckets(dict):
         return found
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, piece by piece, so that a long text is never a list of all its words."""
-    start = 0
-    while start < len(text):
-        stop = start + PIECE
-        if stop < len(text):
-            # cut after a byte that is no part of a word, or where the word ends
-            cut = max(text.rfind(c, start, stop) for c in _GAPS)
-            stop = cut + 1 if cut >= start else min((x for c in _GAPS if (x := text.find(c, stop)) >= 0), default=len(text))
-        yield text[start:stop].translate(WORD_BYTES).split()
-        start = stop
-
-
-#: Bytes at which long texts are cut.
-_GAPS = (b" ", b"\n", b"\t", b",", b".")
+#: Bytes at which long texts are cut; none is part of a word.
+_GAPS = b" \n\t,."
 
 
 def _features(text: bytes, order: int) -> Iterator[tuple[int, list[bytes]]]:
     """(words, features) of each piece; a run that crosses two pieces is the later one's."""
     last: list[bytes] = []
-    for words in _pieces(text):
+    for piece in pieces(text, PIECE, _GAPS):
+        words = piece.translate(WORD_BYTES).split()
         found = list(words)
         both = last + words
         for n in range(2, order + 1):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, importance, language, merkle, mixing, packing, quality_classifier, quality_rules, quotations, simhash, substrings, url_filter
+from . import embedding_dedup, importance, language, merkle, mixing, packing, quality_classifier, quality_rules, quotations, recompression, simhash, substrings, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeated_windows(_table(spark, sf_dir, "documents"), width=35)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return importance.resample(docs, target, buckets=10_000, order=1, seed=2024, percent=10, least_words=20)
@@ -102,6 +106,7 @@ QUERIES = {
     "op9_quotation_links": op9_quotation_links,
     "op10_remove_repeats": op10_remove_repeats,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -109,6 +114,7 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op9_quotation_links": quotations.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_substring_dedup": recompression.ORACLE_SQL,
     "op13_importance_resampling": importance.ORACLE_SQL,
     "op8_url_filter": r"""
 WITH rules(host, path, verdict) AS (
