@@ -5,7 +5,8 @@ then one of the right, by a bit of their names) become new symbols, whose names
 all tasks give equal things equal names without asking each other. A boundary between symbols that a round leaves
 depends on the two symbols beside it alone, so on a known stretch of words around it, which grows by a symbol a round.
 Where such a stretch lies inside a window the boundary is sure: every equal window, whatever surrounds it, has the same
-boundary between the same symbols at the same place. A window's anchor is its first sure boundary of the highest level.
+boundary between the same symbols at the same place. A window's anchor is, of its sure boundaries of the highest level,
+the one with the least key.
 
 Windows that follow each other and share an anchor make a phrase; its key names the two high-level symbols at the
 anchor, its body all its words. Three Spark rounds then reveal and verify repeats, each over what the one before left:
@@ -36,8 +37,8 @@ from .substrings import _batch, _blobs, _group_count, _mix, _power_tables, _reco
 BUFFER, COMBINED, REMEMBERED = 1 << 17, 1 << 20, 200_000
 #: Bytes of text of one batch, and of one piece of a long text.
 BATCH_BYTES, PIECE = 1 << 20, 1 << 20
-#: Rounds of recompression; those whose sure stretches do not fit into a window find nothing and end the search before.
-LEVELS = 16
+#: Rounds of recompression: after 4 a symbol has some 3 words, and a boundary is sure from some 6 words on each side.
+LEVELS = 4
 
 PLACE = np.dtype([("doc", "<i8"), ("variant", "<i8"), ("start", "<u4"), ("count", "u1")])
 PHRASE = np.dtype([("body", "<u8"), ("body2", "<u8"), ("key", "<u8"), *PLACE.descr])
@@ -94,39 +95,63 @@ def _compress(symbols: np.ndarray, gone: np.ndarray, same: np.ndarray) -> np.nda
     return np.where(first == last, x, named)
 
 
-def anchors(names: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place and the key of each window's anchor; ``owner`` is each word's document. A window that reaches into another document has some anchor too.
-
-    Windows without a sure boundary between compressed symbols (inside a run) are their own anchors, with key 0.
-    """
+def boundaries(names: np.ndarray, owner: np.ndarray, levels: int = LEVELS) -> list[tuple[np.ndarray, ...]]:
+    """Of each level from 1: place, first and last word of the sure stretch (one behind) and key of the boundaries that are left."""
     n = len(names)
-    anchor, key = np.arange(n - width + 1), np.zeros(n - width + 1, np.uint64)
     border = np.ones(n + 1, bool)
     border[1:n] = owner[1:] != owner[:-1]
     at, symbols = np.arange(n + 1), names
     low, high = at, at
-    for level in range(1, LEVELS + 1):
+    out = []
+    for level in range(1, levels + 1):
         left = (_mix(symbols + np.uint64(level)) >> np.uint64(63)) == 0
         same = symbols[:-1] == symbols[1:]
         edge = border[at[1:-1]]
         gone = (same | (left[:-1] & ~left[1:])) & ~edge
         # a boundary is sure where its neighbours are; that a text begins or ends is not seen from inside
-        outside = np.concatenate([[True], edge, [True]])
-        low = np.where(outside, -FAR, np.concatenate([[-FAR], np.minimum(low[:-2], low[1:-1]), [-FAR]]))
-        high = np.where(outside, FAR, np.concatenate([[FAR], np.maximum(high[1:-1], high[2:]), [FAR]]))
-        pair = np.concatenate([[np.uint64(0)], _mix(_mix(symbols[:-1]) + symbols[1:] * np.uint64(3) + np.uint64(level)), [np.uint64(0)]])
+        low = np.concatenate([[-FAR], np.where(edge, -FAR, np.minimum(low[:-2], low[1:-1])), [-FAR]])
+        high = np.concatenate([[FAR], np.where(edge, FAR, np.maximum(high[1:-1], high[2:])), [FAR]])
+        key = np.concatenate([[np.uint64(0)], _mix(_mix(symbols[:-1]) + symbols[1:] * np.uint64(3) + np.uint64(level)), [np.uint64(0)]])
         stay = np.concatenate([[True], ~gone, [True]])
         symbols = _compress(symbols, gone, same)
-        at, low, high, pair = at[stay], low[stay], high[stay], pair[stay]
-        begin = np.maximum(np.maximum(np.concatenate([[0], low[:-1] + 1]), high - width), 0)
-        end = np.minimum(low, n - width)
-        size = np.maximum(end - begin + 1, 0)
-        if not size.any():
-            break
-        some = size > 0
-        begin, size = begin[some], size[some]
-        windows = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        anchor[windows], key[windows] = np.repeat(at[some], size), np.repeat(pair[some], size)
+        at, low, high, key = at[stay], low[stay], high[stay], key[stay]
+        sure = (low >= 0) & (high <= n)
+        out.append((at[sure], low[sure], high[sure], key[sure]))
+    return out
+
+
+def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of values[first : last + 1] for each pair, from a table of least values over spans of powers of two."""
+    span = np.frexp((last - first + 1).astype(float))[1] - 1
+    out = np.empty(len(first), values.dtype)
+    table = values
+    for k in range(int(span.max(initial=-1)) + 1):
+        here = span == k
+        if k:
+            half = 1 << (k - 1)
+            table = np.minimum(table[:-half], table[half:])
+        out[here] = np.minimum(table[first[here]], table[last[here] - (1 << k) + 1])
+    return out
+
+
+def anchors(names: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place and the key of each window's anchor; ``owner`` is each word's document. A window that reaches into another document has some anchor too.
+
+    Windows without a sure boundary between compressed symbols (inside a run) are their own anchors, with key 0.
+    """
+    n = len(names)
+    anchor, key = np.arange(n - width + 1), np.zeros(n - width + 1, np.uint64)
+    open_ = np.arange(n - width + 1)
+    low_bits = np.uint64((1 << 24) - 1)
+    for at, low, high, keys in reversed(boundaries(names, owner)):
+        first = np.searchsorted(low, open_)
+        last = np.searchsorted(high, open_ + width, side="right") - 1
+        some = last >= first
+        # the least key, and of equal ones the first
+        least = _least((_mix(keys) & ~low_bits) | np.arange(len(keys), dtype=np.uint64), first[some], last[some])
+        found = (least & low_bits).astype(np.int64)
+        anchor[open_[some]], key[open_[some]] = at[found], keys[found]
+        open_ = open_[~some]
     return anchor, key
 
 
