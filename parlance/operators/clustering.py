@@ -1,19 +1,24 @@
-"""Clusters, maps and orders of sources and entities: Spark reduces to pairs, a bounded matrix goes to a kernel.
+"""Clusters, maps and orders of sources and entities.
 
-A group (all sources, or those of one country) runs as one ``applyInPandas`` task of at most ``MAX_SIDE`` items,
-so groups run side by side and nothing is computed on the driver.
+Clusters work on rows of pairs (``graphs``). Where an order or a map needs a matrix, a group (the sources of a country)
+runs as one ``applyInPandas`` task of at most ``MAX_SIDE`` items, so groups run side by side and nothing is computed on
+the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-from . import kernels
-from .similarity import pearson_pairs
+from ..functions.stats import guarded_r, significance
+from ..session import materialize
+from . import graphs, kernels
+from .similarity import both_ways, pearson_pairs
+
+#: The distance of sources whose correlation is not known.
+UNKNOWN = 2.0
 
 
 def _square(rows: pd.DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -45,25 +50,88 @@ def _grouped_pairs(cells: DataFrame, groups: DataFrame | None, least: int) -> Da
     return pairs.select("grp", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "r", "common").unionByName(alone.withColumn("a", F.col("a").cast("bigint")))
 
 
-def source_clusters(cells: DataFrame, groups: DataFrame | None = None, least: int = 10, threshold: float = 0.5, smallest: int = 1) -> DataFrame:
-    """Average linkage over significance-weighted r, cut at ``threshold``; the centroid has the best mean r in its cluster."""
+def described(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(grp, source_id, cluster_id, members, is_centroid, similarity) of (grp, item, cluster) and the groups' pairs (grp, a, b, r).
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        items, r, common = _square(rows)
-        weighted = kernels.weighted_correlation(r, common)
-        np.fill_diagonal(weighted, 1.0)
-        labels = kernels.cluster_by_correlation(weighted, threshold)
-        sizes = np.bincount(labels)
-        labels = np.where(sizes[labels] < smallest, 0, labels)
-        out = []
-        for k in np.unique(labels):
-            members = np.flatnonzero(labels == k)
-            block = np.where(np.isnan(r[np.ix_(members, members)]), 0.0, r[np.ix_(members, members)])
-            centre = members[int(block.mean(1).argmax())]
-            out += [(rows["grp"].iloc[0], items[m], int(k), len(members), bool(m == centre), None if np.isnan(r[m, centre]) else round(float(r[m, centre]), 4)) for m in members]
-        return pd.DataFrame(out, columns=["grp", "source_id", "cluster_id", "members", "is_centroid", "similarity"])
-
-    return _grouped_pairs(cells, groups, least).groupBy("grp").applyInPandas(run, "grp string, source_id long, cluster_id int, members int, is_centroid boolean, similarity double")
+    Clusters are numbered by size, the largest first, then by their smallest member. Similarity is a member's mean known r
+    to the rest of its cluster, 1 where there is none; the centroid is the member with the greatest, the first on a tie.
+    """
+    ways = both_ways(pairs.where("r IS NOT NULL").select("grp", "a", "b", "r")).select("grp", F.col("a").alias("item"), F.col("b").alias("other"), "r")
+    inside = ways.join(clusters, ["grp", "item"]).join(clusters.select("grp", F.col("item").alias("other"), F.col("cluster").alias("own")), ["grp", "other"]).where("cluster = own")
+    mean = clusters.join(inside.groupBy("grp", "item").agg(F.avg("r").alias("r")), ["grp", "item"], "left")
+    mean = mean.withColumn("similarity", F.round(F.coalesce("r", F.lit(1.0)), 4))
+    about = mean.groupBy("grp", "cluster").agg(F.count("*").alias("members"), F.max_by("item", F.struct("similarity", -F.col("item"))).alias("centroid"))
+    number = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("members"), "cluster")) - 1  # one row a cluster
+    rows = mean.join(about.withColumn("cluster_id", number), ["grp", "cluster"])
+    return rows.select("grp", F.col("item").alias("source_id"), "cluster_id", F.col("members").cast("int").alias("members"), (F.col("item") == F.col("centroid")).alias("is_centroid"), "similarity")
+
+
+def source_clusters(cells: DataFrame, groups: DataFrame | None = None, least: int = 10, threshold: float = 0.5) -> DataFrame:
+    """Average linkage over significance-weighted r within each group (all sources, or ``groups``: source_id, grp), cut at ``threshold``."""
+    rows = materialize(_grouped_pairs(cells, groups, least), "pairs")
+    pairs, items = rows.where("b IS NOT NULL"), rows.where("b IS NULL").select("grp", F.col("a").alias("item"))
+    near = pairs.select("grp", "a", "b", (1 - F.col("r") * significance("common")).alias("d"))
+    clusters, _ = graphs.average_linkage(near, items, 1 - threshold, UNKNOWN)
+    return described(clusters, pairs)
+
+
+def weekly_similarity(cells: DataFrame, last_week: str, weeks: int = 4, value: str = "mean_moral", least: int = 10, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(pairs, clusters) of the week that begins at ``last_week``, over a window of ``weeks`` that ends with it, as they are stored.
+
+    ``cells`` are weekly: source_id, entity_id, period_start, n and ``value``. Pairs have window_start, window_end (the
+    week's last second) and the known r to full precision; clusters have assigned_date, a name of the week and number, and
+    their size. Both carry what they are replaced by: a pair by window_end, a cluster by assigned_date.
+    """
+    last = F.lit(last_week).cast("date")
+    first = F.date_sub(last, 7 * (weeks - 1))
+    within = cells.where(F.col("period_start").between(first, last) & F.col(value).isNotNull())
+    merged = within.groupBy("source_id", "entity_id").agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n"))
+    rows = materialize(_grouped_pairs(merged, None, least), "pairs")
+    pairs, items = rows.where("b IS NOT NULL"), rows.where("b IS NULL").select("grp", F.col("a").alias("item"))
+    clusters, _ = graphs.average_linkage(pairs.select("grp", "a", "b", (1 - F.col("r") * significance("common")).alias("d")), items, 1 - threshold, UNKNOWN)
+    begin, end = first.cast("timestamp"), F.date_add(last, 7).cast("timestamp") - F.make_dt_interval(secs=F.lit(1))
+    stored = pairs.where("r IS NOT NULL").select("a", "b", "r", "common", F.lit("pearson_common").alias("method"), begin.alias("window_start"), end.alias("window_end"))
+    named = described(clusters, pairs).select(
+        "source_id", F.concat(F.lit(f"{last_week}-C"), F.col("cluster_id").cast("string")).alias("cluster_id"), F.lit(1).alias("cluster_level"),
+        F.col("similarity").alias("similarity_to_centroid"), last.alias("assigned_date"), "is_centroid", "members",
+    )
+    return stored, named
+
+
+def monthly_clusters(pairs: DataFrame, sources: DataFrame, first: int = 5, least: int = 4, height: float = 0.3, smallest: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(clusters, quality) of the sources of each country: ``sources`` (source_id, country, articles), ``pairs`` (a, b, r) of stored similarities.
+
+    A country needs ``least`` sources. Where it has more than two over ``first``, its ``first`` with the most articles are
+    clusters of their own (tier 1), and the others, if they are ``least`` at least, are clustered (tier 2). At least half
+    of the pairs that are clustered must be known, or the country has no clusters; an unknown one is like r = 0. Tier 2 is
+    average linkage of 1 - r cut at ``height``; a cluster below ``smallest`` joins the country's largest (the first of
+    equal ones). Clusters have country, source_id, cluster_id, cluster_level, similarity and is_centroid as in
+    ``described``; quality has country, clusters, silhouette and within, as they are stored.
+    """
+    by = Window.partitionBy("country")
+    ranked = sources.where("country IS NOT NULL").select("country", "source_id", F.row_number().over(by.orderBy(F.desc("articles"), "source_id")).alias("rank"), F.count("*").over(by).alias("n"))
+    tier1 = (F.col("n") > first + 2) & (F.col("rank") <= first)
+    ranked = ranked.withColumn("tier", F.when(tier1, 1).otherwise(2)).where(F.col("n") >= least)
+    left = F.count_if(F.col("tier") == 2).over(by)
+    ranked = materialize(ranked.withColumn("left", left).where(F.col("left") >= least), "ranked")
+    second = ranked.where("tier = 2").select(F.col("country").alias("grp"), F.col("source_id").alias("item"), "left")
+    a, b = (second.select("grp", F.col("item").alias(x), F.col("left").alias(f"left_{x}")) for x in ("a", "b"))
+    known = pairs.where("r IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "r").join(a, "a").join(b, ["grp", "b"])
+    enough = known.groupBy("grp", "left_a").agg(F.count("*").alias("k")).where("k >= left_a * (left_a - 1) / 2 * 0.5").select("grp")
+    known = materialize(known.join(enough, "grp", "left_semi").select("grp", "a", "b", "r"), "known")
+    items = second.join(enough, "grp", "left_semi").select("grp", "item")
+    near = known.select("grp", "a", "b", (1 - F.col("r")).alias("d"))
+    found, _ = graphs.average_linkage(near, items, height, 1.0)
+    sizes = found.groupBy("grp", "cluster").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("grp").agg(F.max_by("cluster", F.struct("size", -F.col("cluster"))).alias("largest"))
+    moved = found.join(sizes, ["grp", "cluster"]).join(largest, "grp")
+    clusters = materialize(moved.select("grp", "item", F.when(F.col("size") < smallest, F.col("largest")).otherwise(F.col("cluster")).alias("cluster")), "clusters")
+    name = lambda *parts: F.concat_ws("_", F.col("country"), *parts)
+    rows = described(clusters, known).withColumnRenamed("grp", "country")
+    rows = rows.select("country", "source_id", name(F.lit("cluster"), F.col("cluster_id").cast("string")).alias("cluster_id"), F.lit(2).alias("cluster_level"), "similarity", "is_centroid")
+    alone = ranked.where("tier = 1").join(enough.withColumnRenamed("grp", "country"), "country", "left_semi")
+    alone = alone.select("country", "source_id", name(F.lit("tier1"), F.col("source_id").cast("string")).alias("cluster_id"), F.lit(1).alias("cluster_level"), F.lit(1.0).alias("similarity"), F.lit(True).alias("is_centroid"))
+    return alone.unionByName(rows), graphs.cluster_quality(near, clusters, 1.0).withColumnRenamed("grp", "country")
 
 
 def source_map(cells: DataFrame, least: int = 10, least_pairs: int = 3, dimensions: int = 2) -> DataFrame:
@@ -100,10 +168,6 @@ def seriation(cells: DataFrame, groups: DataFrame | None = None, least: int = 10
 
 def axis_anatomy(cells: DataFrame, positions: DataFrame, support: int = 15, poles: int = 5, least_r: float = 0.3) -> DataFrame:
     """The entities that best tell the two ends of each map axis apart."""
-    from pyspark.sql import Window
-
-    from ..functions.stats import guarded_r
-
     axes = positions.select("source_id", F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("x").alias("at")), F.struct(F.lit(1).alias("axis"), F.col("y").alias("at")))).alias("p"))
     rows = cells.join(axes, "source_id").groupBy("p.axis", "entity_id").agg(guarded_r("value", "p.at", support).alias("r"), F.count("*").alias("n"))
     rows = rows.where(F.abs("r") >= least_r).withColumn("strength", F.abs(F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), "r")))) * F.sqrt(F.col("n") - 3.0))
@@ -111,74 +175,48 @@ def axis_anatomy(cells: DataFrame, positions: DataFrame, support: int = 15, pole
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= poles)
 
 
-def entity_embeddings(ppmi: DataFrame, components: int = 24) -> DataFrame:
-    """Vectors of entities from the decomposition of their PPMI matrix (exact; up to sign and rotation of equal values)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        items = sorted({int(x) for x in rows["a"]} | {int(x) for x in rows["b"]})
-        if len(items) > kernels.MAX_SIDE:
-            raise ValueError(f"{len(items)} entities in one matrix; at most {kernels.MAX_SIDE}")
-        at = {x: i for i, x in enumerate(items)}
-        m = np.zeros((len(items),) * 2)
-        i, j = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
-        m[i, j] = m[j, i] = rows["ppmi"].to_numpy()
-        values, vectors = np.linalg.eigh(m)
-        first = np.argsort(-np.abs(values))[:components]
-        x = vectors[:, first] * np.sqrt(np.abs(values[first]))
-        x *= np.where(x[np.abs(x).argmax(0), np.arange(x.shape[1])] < 0, -1, 1)
-        return pd.DataFrame({"entity_id": items, "vector": list(x)})
-
-    return ppmi.groupBy(F.lit(0).alias("one")).applyInPandas(run, "entity_id long, vector array<double>")
-
-
 def entity_groups(cosines: DataFrame, least: float = 0.6) -> DataFrame:
     """(entity_id, group_id): entities linked by cosine of at least ``least``: DBSCAN with two points a core, so linked components.
 
-    A group's id is its smallest entity; -1 is an entity without a link. Each round takes the smallest label next to
-    an entity, then that label's own label, and is a checkpoint, so paths shorten by more than a link a round.
+    A group's id is its smallest entity; -1 is an entity without a link.
     """
-    spark = cosines.sparkSession
-    place = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(place)
-    pairs = cosines.select("a", "b", (F.col("cosine") >= least).alias("near"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
-    known = both.groupBy("a", "b").agg(F.max("near").alias("near")).checkpoint()
-    links = known.where("near").select("a", "b")
-    labels = links.groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
-    moving = True
-    while moving:
-        near = links.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(near, "a").select("a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = moved.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        moved = moved.join(up, "label").select("a", "old", F.col("up").alias("label")).checkpoint()
-        moving = not moved.where("label <> old").isEmpty()
-        labels = moved.select("a", "label")
-    rows = known.select("a").distinct().join(labels, "a", "left")
-    return rows.select(F.col("a").alias("entity_id"), F.coalesce("label", F.lit(-1)).cast("long").alias("group_id"))
-
-
-def topic_clusters(counts: DataFrame, mentions: DataFrame, entities: DataFrame, reach: float = 0.7, least: int = 3) -> DataFrame:
-    """Topics of entities that occur in the same articles; ``counts`` has (a, b, together)."""
-    sizes = mentions.groupBy("entity_id").agg(F.countDistinct("article_id").alias("k"))
-    names = entities.where("canonical_id IS NULL").select(F.col("id").alias("entity_id"), "name", "entity_type")
-    items = sizes.join(names, "entity_id").select(F.col("entity_id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("k").alias("together"), "name", "entity_type")
-    rows = counts.select("a", "b", "together", F.lit("").alias("name"), F.lit("").alias("entity_type")).unionByName(items)
+    near = graphs.components(cosines.where((F.col("cosine") >= least) & (F.col("a") != F.col("b"))).select("a", "b"))
+    every = cosines.select(F.explode(F.array("a", "b")).alias("entity_id")).distinct()
+    rows = every.join(near.withColumnRenamed("node", "entity_id"), "entity_id", "left")
+    return rows.select("entity_id", F.coalesce("component", F.lit(-1)).cast("long").alias("group_id"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["b"].isna()].sort_values("a")
-        if len(own) > kernels.MAX_SIDE:
-            raise ValueError(f"{len(own)} entities in one matrix; at most {kernels.MAX_SIDE}")
-        at = {int(x): i for i, x in enumerate(own["a"])}
-        together = np.zeros((len(at),) * 2)
-        for a, b, n in rows[rows["b"].notna()][["a", "b", "together"]].itertuples(index=False):
-            if int(a) in at and int(b) in at:
-                together[at[int(a)], at[int(b)]] = together[at[int(b)], at[int(a)]] = n
-        found = kernels.topics(together, own["together"].to_numpy(float), own["name"].tolist(), own["entity_type"].tolist(), reach, least)
-        ids = own["a"].astype(int).tolist()
-        return pd.DataFrame([(t["topic"], t["name"], t["coherence"], ids[m]) for t in found for m in t["members"]], columns=["topic", "name", "coherence", "entity_id"])
-
-    return rows.groupBy(F.lit(0).alias("one")).applyInPandas(run, "topic int, name string, coherence double, entity_id long")
+
+#: Types of the entities that name a topic, the best first; any other comes last.
+NAMING = ["person", "organization", "country"]
+
+
+def topic_clusters(counts: DataFrame, mentions: DataFrame, entities: DataFrame, reach: float = 0.7, least: int = 3, mentioned: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(members, topics) of entities that share articles: ``counts`` (a, b, together) are the pairs that do, each once, a < b.
+
+    The share of a pair is its articles over those of the entity with fewer; entities at 1 - share <= ``reach`` are
+    neighbours, and topics are their density clusters with ``least`` neighbours a core. Only entities with ``mentioned``
+    mentions take part. Members have topic (its smallest core) and entity_id; topics have topic, members, coherence (the
+    mean share over all pairs of members, 0 for those that never met) and name: its first two persons by id, or else
+    organizations, countries, or any.
+    """
+    sizes = mentions.groupBy("entity_id").agg(F.count_distinct("article_id").alias("k"), F.count("*").alias("n")).where(F.col("n") >= mentioned)
+    sizes = materialize(sizes.select("entity_id", "k"), "sizes")
+    shares = counts.join(sizes.toDF("a", "k_a"), "a").join(sizes.toDF("b", "k_b"), "b")
+    shares = materialize(shares.select("a", "b", (F.col("together") / F.least("k_a", "k_b")).alias("share")), "shares")
+    near = shares.where(F.round(1 - F.col("share"), graphs.PLACES) <= reach).select("a", "b")
+    found = graphs.density_clusters(near, sizes.select(F.col("entity_id").alias("item")), least).where("cluster >= 0")
+    members = materialize(found.select(F.col("cluster").alias("topic"), F.col("item").alias("entity_id")), "topics")
+    inside = shares.join(members.toDF("topic", "a"), "a").join(members.toDF("topic_b", "b"), "b").where("topic = topic_b").groupBy("topic").agg(F.sum("share").alias("share"))
+    kind = F.coalesce(F.array_position(F.array(*map(F.lit, NAMING)), F.col("entity_type")), F.lit(0))
+    rank = F.when(kind > 0, kind).otherwise(len(NAMING) + 1)
+    named = members.join(entities.where("canonical_id IS NULL").select(F.col("id").alias("entity_id"), "name", rank.alias("rank")), "entity_id", "left")
+    # the two smallest ids of each type, without gathering a topic
+    first = named.groupBy("topic", "rank").agg(F.count("*").alias("n"), F.min(F.struct("entity_id", "name")).alias("one"))
+    later = named.join(first.select("topic", "rank", F.col("one.entity_id").alias("first_id")), ["topic", "rank"]).where("entity_id > first_id").groupBy("topic", "rank").agg(F.min(F.struct("entity_id", "name")).alias("two"))
+    best = first.join(later, ["topic", "rank"], "left").groupBy("topic").agg(F.sum("n").alias("members"), F.min_by(F.concat_ws(" & ", "one.name", "two.name"), F.coalesce("rank", F.lit(99))).alias("name"))
+    every = F.col("members") * (F.col("members") - 1) / 2
+    topics = best.join(inside, "topic", "left").select("topic", "members", F.when(every > 0, F.coalesce("share", F.lit(0.0)) / every).otherwise(0.0).alias("coherence"), "name")
+    return members, topics
 
 
 def kmeans_sources(cells: DataFrame, k: int = 5, items: list[int] | None = None, seed: int = 42) -> DataFrame:

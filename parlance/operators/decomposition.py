@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import discard, materialize
 
 #: Columns beyond those asked for, which make the iteration converge fast; rounds at most; relative change that ends it.
-MORE, ROUNDS, TOLERANCE = 16, 200, 1e-10
+MORE, ROUNDS, TOLERANCE = 24, 200, 1e-10
 
 
 def _columns(width: int) -> list[str]:

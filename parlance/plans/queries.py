@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import SQL, News
 from ..functions import text as T
-from ..operators import clustering, entities, narrative, publishers, rollups, similarity
+from ..operators import clustering, decomposition, entities, narrative, publishers, rollups, similarity
 from ..operators.entities import rounded
 from ..session import shared_dir
 
@@ -610,9 +610,53 @@ def _(t):
     return clustering.source_clusters(similarity_cells(t), threshold=0.2)
 
 
+def _monthly(t: News):
+    """Regions are the countries, as the tables have five sources a country and a tier of its own needs eight."""
+    sources = t.articles.where(F.col("publish_date") >= WINDOW).groupBy("source_id", F.concat(F.lit("region "), F.col("region")).alias("country")).agg(F.count("*").alias("articles"))
+    return clustering.monthly_clusters(similarity.pearson_pairs(similarity_cells(t)), sources, height=0.8)
+
+
 @query("country_clusters")
 def _(t):
-    return clustering.source_clusters(similarity_cells(t), _regions(t), threshold=0.2, smallest=2)
+    return _monthly(t)[0]
+
+
+@query("country_cluster_quality")
+def _(t):
+    return _monthly(t)[1]
+
+
+def _stored(t: News, rows: DataFrame, name: str, by: str) -> DataFrame:
+    """``rows`` after they were stored twice over: a rerun replaces its own partition."""
+    import uuid
+
+    from ..sources.writers import replace_partitions
+
+    path = f"{shared_dir(t.spark)}/{name}_{uuid.uuid4().hex}"
+    for _ in range(2):
+        replace_partitions(rows.withColumn("part", F.col(by).cast("string")), path, "part")
+    return t.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+WEEK = "2001-07-30"
+WEEKLY = CELLS.format(grain="week") + f""", wcells AS (
+  SELECT source_id, entity_id, sum(mean_moral * n) / sum(n) AS value FROM cells WHERE period_start BETWEEN DATE '{WEEK}' - 7 * 51 AND DATE '{WEEK}' GROUP BY ALL
+), pairs AS (
+  SELECT a.source_id AS a, b.source_id AS b, {guarded('a.value', 'b.value', 10)} AS r, count(*) AS common
+  FROM wcells a JOIN wcells b ON a.entity_id = b.entity_id AND a.source_id < b.source_id GROUP BY ALL
+) SELECT a, b, {r('r')} AS r, common, 'pearson_common' AS method, TIMESTAMP '{WEEK}' - INTERVAL 357 DAY AS window_start, TIMESTAMP '{WEEK}' + INTERVAL 7 DAY - INTERVAL 1 SECOND AS window_end FROM pairs WHERE r IS NOT NULL"""
+
+
+@query("weekly_similarity_pairs", WEEKLY)
+def _(t):
+    pairs, _ = clustering.weekly_similarity(rollups.cells(t.mentions, "week"), WEEK, weeks=52)
+    return _stored(t, pairs, "pairs", "window_end")
+
+
+@query("weekly_similarity_clusters")
+def _(t):
+    _, clusters = clustering.weekly_similarity(rollups.cells(t.mentions, "week"), WEEK, weeks=52, threshold=0.2)
+    return _stored(t, clusters, "clusters", "assigned_date")
 
 
 @query("source_map_mds")
@@ -631,10 +675,18 @@ def _(t):
     return clustering.seriation(similarity_cells(t), _regions(t))
 
 
+def _vectors(rows: DataFrame) -> DataFrame:
+    return rows.select("entity_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
 @query("entity_embeddings_svd")
 def _(t):
-    rows = clustering.entity_embeddings(similarity.ppmi(t.mentions))
-    return rows.select("entity_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return _vectors(decomposition.entity_embeddings(similarity.ppmi(t.mentions)))
+
+
+@query("sentiment_embeddings_svd")
+def _(t):
+    return _vectors(decomposition.sentiment_embeddings(rollups.cells(t.mentions, "week")))
 
 
 @query("entity_dbscan", "WITH RECURSIVE c AS (" + ORACLES["entity_cosine"] + """), e AS (SELECT a, b FROM c WHERE cosine >= 0.6 UNION ALL SELECT b, a FROM c WHERE cosine >= 0.6),
@@ -644,9 +696,26 @@ def _(t):
     return clustering.entity_groups(similarity.entity_cosine(similarity_cells(t)), 0.6)
 
 
-@query("topic_clusters")
+REACH = 0.95
+TOPICS = SQL.replace("WITH", "WITH RECURSIVE", 1) + f"""d AS (SELECT DISTINCT article_id, entity_id FROM mentions WHERE entity_id IN (SELECT entity_id FROM mentions GROUP BY entity_id HAVING count(*) >= 3)),
+k AS (SELECT entity_id, count(*) AS k FROM d GROUP BY entity_id), c AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS together FROM d a JOIN d b ON a.article_id = b.article_id AND a.entity_id < b.entity_id GROUP BY ALL),
+sh AS (SELECT a, b, together::DOUBLE / least(x.k, y.k) AS share FROM c JOIN k x ON x.entity_id = a JOIN k y ON y.entity_id = b), n AS (SELECT a, b FROM sh WHERE round(1 - share, 12) <= {REACH} UNION ALL SELECT b, a FROM sh WHERE round(1 - share, 12) <= {REACH}),
+core AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) + 1 >= 3), walk AS (SELECT id, id AS node FROM core UNION SELECT walk.id, b FROM walk JOIN n ON node = a JOIN core ON core.id = b),
+own AS (SELECT id, min(node) AS topic FROM walk GROUP BY id), m AS (SELECT topic, id AS entity_id FROM own UNION ALL SELECT min(topic), a FROM n JOIN own ON own.id = b WHERE a NOT IN (SELECT id FROM core) GROUP BY a)
+"""
+
+
+@query("topic_clusters", TOPICS + "SELECT topic, entity_id FROM m", with_views=False)
+def _(t):
+    return clustering.topic_clusters(similarity.ppmi(t.mentions, least=3), t.mentions, t.entities, reach=REACH)[0]
+
+
+@query("topic_names", TOPICS + f""", s AS (SELECT x.topic, sum(share) AS share FROM sh JOIN m x ON x.entity_id = a JOIN m y ON y.entity_id = b AND x.topic = y.topic GROUP BY x.topic),
+e AS (SELECT topic, name, entity_id, CASE entity_type WHEN 'person' THEN 1 WHEN 'organization' THEN 2 WHEN 'country' THEN 3 ELSE 4 END AS kind FROM m JOIN entities ON id = entity_id WHERE canonical_id IS NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY topic, kind ORDER BY entity_id) AS i, min(kind) OVER (PARTITION BY topic) AS best FROM e), w AS (SELECT topic, string_agg(name, ' & ' ORDER BY entity_id) AS name FROM f WHERE kind = best AND i <= 2 GROUP BY topic)
+SELECT topic, members, {r('coalesce(share, 0) / (members * (members - 1) / 2)')} AS coherence, name FROM (SELECT topic, count(*) AS members FROM m GROUP BY topic) JOIN w USING (topic) LEFT JOIN s USING (topic)""", with_views=False)
 def _(t):
-    return clustering.topic_clusters(similarity.ppmi(t.mentions), t.mentions, t.entities, reach=0.95)
+    return clustering.topic_clusters(similarity.ppmi(t.mentions, least=3), t.mentions, t.entities, reach=REACH)[1]
 
 
 @query("source_kmeans")

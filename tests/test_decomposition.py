@@ -15,7 +15,7 @@ def exact(m, k):
     return (u * s)[:, :k], s[:k]
 
 
-@pytest.mark.parametrize("shape,k,fill", [((40, 40), 5, 0.3), ((70, 25), 8, 0.5), ((12, 90), 24, 1.0), ((200, 150), 6, 0.1)])
+@pytest.mark.parametrize("shape,k,fill", [((40, 40), 5, 0.3), ((70, 25), 8, 0.5), ((12, 90), 24, 1.0)])
 def test_against_the_exact_decomposition(spark, shape, k, fill):
     rng = np.random.default_rng(k)
     m = rng.normal(size=shape) * (rng.random(shape) < fill)
