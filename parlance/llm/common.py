@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,21 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, shared_dir  # noqa: F401  discard is for the operators
+
 #: The six ASCII white-space characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 #: Parts in which the rows of one component look up its smallest value.
 SALTS = 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-checkpoints-"))
-        place = spark.sparkContext.getCheckpointDir()
-    return place.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, computes once, survives lost executors.
 
@@ -49,13 +41,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more."""
-    for df in tables:
-        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def split_words(text) -> Column:
     """The white-space-separated words of a text column, by Spark's own functions; none for null."""
     bare = F.btrim(text, F.lit(SPACES))

@@ -23,6 +23,8 @@ from .common import arrow_rows, release
 DIMENSIONS = 1 << 14
 #: The fit's bound: sampled rows of each language, and landmarks of all.
 SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 400, 192, 1e-3, 4.0
+#: Rows of all languages together that the fit takes at most, but one of each language.
+MOST_ROWS = 4000
 #: Characters of a text that are hashed at once; only memory depends on it.
 WINDOW = 1 << 20
 
@@ -85,17 +87,22 @@ def _has_letter(text: str) -> bool:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from (doc_id, lang, text) rows; about ``sample`` rows of each language, by a hash of doc_id.
+    """A model from (doc_id, lang, text) rows; about ``sample`` rows of each language, by a hash of doc_id and text.
 
-    Rows with a null lang or without a letter teach nothing. None if nothing is left.
+    Of many languages each gives fewer, so that the rows of all are at most about MOST_ROWS; more labels than that
+    raise. Equal rows count as one. Rows with a null lang or without a letter teach nothing. None if nothing is left.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    spread = 1 << 40
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id").cast("string"), "text"), F.lit(spread))
+    different = rows.groupBy("lang").agg(F.approx_count_distinct(draw, 0.02).alias("n"))
+    counts = {r["lang"]: max(1, r["n"]) for r in different.limit(MOST_ROWS + 1).collect()}
     if not counts:
         return None
-    spread = 1 << 40
+    if len(counts) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} labels of languages")
+    sample = min(sample, max(1, MOST_ROWS // len(counts)))
     limits = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(spread, spread * sample // n))])
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id").cast("string")), F.lit(spread))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,6 +110,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_pylist([dict(zip(("draw", "lang", "bits"), r, strict=True)) for r in out], pa.schema([("draw", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())]))
 
     taken = rows.where(draw < limits[F.col("lang")]).select(draw.alias("draw"), "lang", "text").mapInArrow(pack, "draw long, lang string, bits binary")
+    taken = taken.groupBy("draw", "lang").agg(F.first("bits").alias("bits"))
     found = sorted(taken.collect(), key=lambda r: (r["draw"], r["lang"], bytes(r["bits"])))
     if not found:
         return None
@@ -119,7 +127,7 @@ def predict(docs: DataFrame, model: Model | None, text_column: str = "text") ->
     A null text, or one without a letter, is ``und`` with score 0, and so is everything without a model.
     The row's other columns come through whatever they are called; a clash with the two new names replaces them.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     index = names.index(text_column)
     kept = docs.select(*[F.col(f"`{c}`") for c in names])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

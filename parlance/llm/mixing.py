@@ -99,9 +99,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     size counts words of the whole text, none for null. A null source is a source of its own. A source without
     words has target 0 and takes nothing. Rows alike in doc_id and text in a source are rounded alike, so where one
     is repeated very often its source comes as near its target as that group allows. Columns of ``docs`` that have
-    one of the new names are replaced; all others pass, whatever they are called. Without rows there is no result row.
+    one of the new names, in any case, are replaced; all others pass, whatever they are called. Without rows there is no result row.
     """
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in NEW])
     sized = own.select(
         F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.size(split_words(F.col("text"))).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("key"), _draw().alias("draw"),

@@ -131,10 +131,11 @@ def link(messages: DataFrame) -> DataFrame:
     """
     rows = materialize(parse(messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")), "messages")
     lines = rows.select("message", "conv_id", "turn", F.explode("lines").alias("l")).select("message", "conv_id", "turn", "l.level", "l.hash")
-    key = F.xxhash64("conv_id", "hash").alias("key")
-    first = lines.where("level = 0 AND turn IS NOT NULL").groupBy(key).agg(F.min("turn").alias("original"))
-    quoted = lines.where("level > 0").select("message", "turn", "level", key)
-    joined = quoted.join(first, "key", "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
+    first = lines.where("level = 0 AND turn IS NOT NULL").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
+    first = first.withColumnsRenamed({"conv_id": "f_conv", "hash": "f_hash"})
+    quoted = lines.where("level > 0").select("message", "conv_id", "turn", "level", "hash")
+    same = F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("hash") == F.col("f_hash"))
+    joined = quoted.join(first, same, "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
     best = joined.groupBy("message").agg(
         F.count("*").alias("n_quoted"), F.count("original").alias("n_linked"), F.max("level").alias("quote_level"),
         F.max(F.when(F.col("original").isNotNull(), F.struct((-F.col("level")).alias("near"), "original")))["original"].alias("quoted_turn"),

@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     if not 16 <= length <= 250:
         raise ValueError("length must be from 16 to 250 bytes")
     result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
-    extra = [c for c in docs.columns if c not in (*result, "text")] if with_text else []
+    extra = [c for c in docs.columns if c.lower() not in (*result, "text")] if with_text else []
     kinds = [docs.schema[c].dataType.simpleString() for c in extra]
     carried = [f"x{i}" for i in range(len(extra))]
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(extra, carried, strict=True)])

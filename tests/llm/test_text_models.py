@@ -228,3 +228,33 @@ def test_no_operator_row_is_lost(spark, small):
 def test_names():
     numbers = [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES]
     assert sorted(numbers) == list(range(1, 11)), json.dumps(numbers)
+
+
+def test_language_fit_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_ROWS", 6)
+    seen = []
+    fit = language.fit_spectra
+    monkeypatch.setattr(language, "fit_spectra", lambda flags, langs: seen.append(langs) or fit(flags, langs))
+    rows = [(7, "aa", "one and the same text")] * 500 + [(7, "bb", f"another text {i} xyz") for i in range(300)] + [(i, "cc", f"{i} words qqq") for i in range(300)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, lang string, text string, `Lang_Pred` string")
+    model = language.fit(docs)
+    assert model.languages == ("aa", "bb", "cc") and seen[0].count("aa") == 1 and len(seen[0]) < 20
+    assert language.predict(docs, model).columns == ["doc_id", "lang", "text", "lang_pred", "score"]
+    with pytest.raises(ValueError):
+        language.fit(spark.createDataFrame([(i, f"l{i}", "text") for i in range(7)], "doc_id long, lang string, text string"))
+
+
+def test_mixing_with_names_in_other_case(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", 9, 9, 9) for i in range(20)], "doc_id long, text string, source string, `Size` int, `TAKEN` int, `Row` int")
+    out = mixing.mix(docs)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "source", "Row", *mixing.NEW]) and {r["size"] for r in out.collect()} == {3}
+
+
+def test_quotes_of_other_conversations_do_not_collide(spark, monkeypatch):
+    """Conversations are compared themselves: with a hash of all passages alike, only the same conversation links."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quotations, "_double", lambda *columns: F.struct(F.lit(1).cast("long").alias("x"), F.length(columns[0]).cast("long").alias("y")))
+    rows = [(c, t, "user", text) for c in (1, 2, None) for t, text in enumerate(["hello", "> hello"] if c != 2 else ["other words", "> hello"])]
+    got = {(r["conv_id"], r["turn"]): (r["link"], r["n_linked"]) for r in quotations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(c, t): ("none", 0) if t == 0 else ("previous", 0) if c == 2 else ("quote", 1) for c in (1, 2, None) for t in (0, 1)}
