@@ -787,6 +787,35 @@ _stream("stream_sessions", lambda jobs, e: jobs.sessions(e))
 _stream("stream_dedup_upsert", lambda jobs, e: jobs.deduplicated(e).select("event_id", "ts", "event_type"))
 _stream("stream_lease_timeout", lambda jobs, e: jobs.leases(e))
 
+#: Feeds of a hundred pages each, RSS and Atom in turn; every seventh page's entry has no link.
+FEED_PAGES = 100
+
+
+def _feed_documents(t: News) -> DataFrame:
+    """(feed, value): the pages as entries of feed documents."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    link = F.when(F.col("page_id") % 7 != 0, safe(F.coalesce("url", F.lit(""))))
+    at = F.timestamp_seconds(1704067200 + F.col("page_id") * 61)
+    feed = F.floor(F.col("page_id") / FEED_PAGES)
+    rss = F.concat(F.lit("<item><title>page "), "page_id", F.lit("</title>"), F.coalesce(F.concat(F.lit("<link>"), link, F.lit("</link>")), F.lit("")), F.lit("<pubDate>"), F.date_format(at + F.expr("INTERVAL 2 HOURS"), "dd MMM yyyy HH:mm:ss"), F.lit(" +0200</pubDate></item>"))
+    atom = F.concat(F.lit("<entry><title>page "), "page_id", F.lit("</title>"), F.coalesce(F.concat(F.lit('<link href="'), link, F.lit('"/>')), F.lit("")), F.lit("<updated>"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</updated></entry>"))
+    entries = t.table("pages").select(feed.alias("feed"), F.when(feed % 2 == 0, rss).otherwise(atom).alias("e"))
+    body = entries.groupBy("feed").agg(F.array_join(F.array_sort(F.collect_list("e")), "").alias("b"))  # a hundred at most
+    return body.select("feed", F.when(F.col("feed") % 2 == 0, F.concat(F.lit("<rss><channel>"), "b", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "b", F.lit("</feed>"))).alias("value"))
+
+
+@query("feed_entries", f"""SELECT md5(url) AS id, url AS link, 'page ' || page_id AS title, TIMESTAMP '2024-01-01' + to_seconds(page_id * 61) AS published, NULL AS reason, CASE WHEN page_id // {FEED_PAGES} % 2 = 0 THEN 'rss' ELSE 'atom' END AS format FROM (SELECT page_id, trim(url) AS url FROM pages) WHERE page_id % 7 <> 0 AND url <> ''
+UNION ALL SELECT NULL, NULL, 'page ' || page_id, TIMESTAMP '2024-01-01' + to_seconds(page_id * 61), 'no link', CASE WHEN page_id // {FEED_PAGES} % 2 = 0 THEN 'rss' ELSE 'atom' END FROM pages WHERE page_id % 7 = 0 OR coalesce(trim(url), '') = ''""", with_views=False)
+def _(t):
+    import uuid
+
+    from ..streaming import feeds, jobs
+
+    place = f"{shared_dir(t.spark)}/feeds_{uuid.uuid4().hex}"
+    _feed_documents(t).write.partitionBy("feed").text(f"{place}/in")
+    return jobs.run_to_table(feeds.entries(feeds.feed_files(t.spark, f"{place}/in")), f"{place}/rows", f"{place}/checkpoint").drop("feed", "summary")
+
+
 _EVENT_WINDOWS = "SELECT {w} AS window_start, {w} + INTERVAL {d} DAY AS window_end, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events {j} GROUP BY ALL"
 ORACLES["stream_tumbling"] = _EVENT_WINDOWS.format(w="date_trunc('day', ts)", d=1, j="")
 ORACLES["stream_weekly"] = _EVENT_WINDOWS.format(w="date_trunc('week', ts)", d=7, j="")

@@ -120,11 +120,12 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that may not have been written yet."""
-    from pyspark.errors import AnalysisException
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or a folder, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
 
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not have been written yet; one that is there but cannot be read is an error."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -92,22 +92,21 @@ def leases(rows: DataFrame, hours: int = 6, late: str = "1 hour") -> DataFrame:
 
 
 def run_to_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available into Parquet files under ``path``, and return them.
+    """Run a stream over what is available into Parquet files under ``path``, and return all that it has written there.
 
-    Each micro-batch has a folder of its own, written anew if the batch is run again. Of a ``complete`` stream the
-    last one is the result; otherwise all are.
+    Each micro-batch has a folder of its own, written anew if the batch is run again, so a stream that goes on from its
+    checkpoint neither loses nor repeats rows. Of a ``complete`` stream the last batch is the result; otherwise all are.
     """
-    done: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        done.append(number)
 
     rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    reader = rows.sparkSession.read.schema(rows.schema)
-    if not done:
-        return rows.sparkSession.createDataFrame([], rows.schema)
-    return reader.parquet(f"{path}/batch={max(done)}") if mode == "complete" else reader.parquet(*[f"{path}/batch={n}" for n in sorted(set(done))])
+    written = table_or_empty(rows.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch long")
+    if mode == "complete":
+        last = written.agg(F.max("batch")).first()[0]
+        written = written.where(F.col("batch") == (-1 if last is None else last))
+    return written.select(*rows.columns)
 
 
 def trailing_stats(rows: DataFrame, width: str = "7 days", slide: str = "1 day", late: str = "14 days", key: str = "event_type") -> DataFrame:
