@@ -7,7 +7,7 @@ other's nearest merge at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize
@@ -136,3 +136,14 @@ def cluster_quality(distances: DataFrame, clusters: DataFrame, unknown: float) -
     value = F.when((F.col("size") > 1) & (F.col("clusters") > 1), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).otherwise(0.0)
     by_cluster = scored.groupBy("grp", "cluster", "clusters").agg(F.sum(value).alias("value"), F.count("*").alias("n"), F.avg(F.coalesce(1 - F.col("a"), F.lit(1.0))).alias("within"))
     return by_cluster.groupBy("grp").agg(F.max("clusters").alias("clusters"), (F.sum("value") / F.sum("n")).alias("silhouette"), F.avg("within").alias("within"))
+
+
+def numbered(rows: DataFrame, keys: list, name: str) -> DataFrame:
+    """``rows`` with ``position``, from 0 in order of ``keys``: sorted ranges are numbered each, after the counts of those before."""
+    place = F.monotonically_increasing_id()  # partition, and the row's place in it
+    placed = materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", place), name)
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    parts = placed.groupBy("part").agg(F.min("place").alias("begin"), F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = parts.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("begin")).alias("shift"))
+    return placed.join(parts, "part").withColumn("position", F.col("place") + F.col("shift")).drop("place", "part", "shift")
