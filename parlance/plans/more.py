@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fixtures import TYPES, _sql_case
 from ..functions import text as T
-from ..operators import entities, lookups, narrative, rollups, similarity
+from ..operators import entities, lookups, merging, narrative, rollups, similarity
+from ..session import shared_dir
+from ..sources import versions
+from ..streaming import jobs, leases
 from .queries import AVGS, COUNTRY, END, ENTITY, ORACLES, QUARTER, SERIES, SOURCE, YEAR, guarded, quarter_cells, query, r, source_series
 
 LABELS = [
@@ -216,3 +221,82 @@ SELECT 'all' AS grp, {r('abs(avg(r))')} AS synchrony, count(*) AS pairs FROM pr
 def _(t):
     # what each group's synchrony is held against
     return narrative.synchrony(source_series(t), t.sources.select("source_id", F.lit("all").alias("grp")), group="grp")
+
+
+# merges, leases and published tables ----------------------------------------------------------------------------
+
+
+def _merge_job(t):
+    """All parts as canonical entities; every seventh name has a label before it that normalisation takes off."""
+    named = F.when(F.col("id") % 7 == 0, F.concat(F.lit("People: "), "name")).otherwise(F.col("name"))
+    return merging.merge_entities(t.entities.select("id", named.alias("name"), "entity_type", F.lit(None).cast("long").alias("canonical_id")), t.mentions)
+
+
+MERGES = """e AS (SELECT id, name AS display, CASE WHEN id % 7 = 0 THEN 'People: ' || name ELSE name END AS name, count(mention_id) AS k FROM entities LEFT JOIN mentions ON raw_id = id GROUP BY ALL),
+w AS (SELECT *, first_value(id) OVER (PARTITION BY lower(display) ORDER BY k DESC, id) AS winner, min(CASE WHEN name = display THEN id END) OVER (PARTITION BY lower(display)) AS plain FROM e),
+n AS (SELECT *, id = winner AND name <> display AS renamed, count(*) OVER (PARTITION BY name) AS alike FROM w),
+p AS (SELECT (SELECT max(id) FROM e) + row_number() OVER (ORDER BY id) AS id, name, id AS canonical_id FROM n WHERE renamed AND plain IS NULL AND alike = 1),
+s AS (SELECT plain AS id, name FROM n WHERE renamed AND plain IS NOT NULL)
+"""
+
+
+@query("merge_job_entities", MERGES + """SELECT n.id, CASE WHEN renamed THEN display ELSE coalesce(s.name, n.name) END AS name, CASE WHEN n.id <> winner THEN winner END AS canonical_id FROM n LEFT JOIN s ON s.id = n.id UNION ALL SELECT id, name, canonical_id FROM p""")
+def _(t):
+    return _merge_job(t).entities.select("id", "name", "canonical_id")
+
+
+@query("merge_job_undone", """SELECT id, CASE WHEN id % 7 = 0 THEN 'People: ' || name ELSE name END AS name, NULL::BIGINT AS canonical_id FROM entities""")
+def _(t):
+    done = _merge_job(t)
+    return merging.undo(done.entities, done.log).select("id", "name", "canonical_id")
+
+
+@query("names_by_alias_table", """a AS (SELECT lower(a.name) AS alias, min(c.name) AS canonical FROM entities a JOIN entities c ON c.id = a.canonical_id GROUP BY 1)
+SELECT id, coalesce(canonical, name) AS name FROM entities LEFT JOIN a ON alias = lower(name)""")
+def _(t):
+    # the table of aliases is the tables' own: names of aliases, and of what they stand for
+    known = t.entities.select(F.col("id").alias("canonical_id"), F.col("name").alias("canonical"))
+    aliases = t.entities.where("canonical_id IS NOT NULL").select("canonical_id", F.col("name").alias("alias")).join(known, "canonical_id")
+    return T.with_aliases(t.entities.select("id", "name"), aliases)
+
+
+@query("stream_lease_attempts")
+def _(t):
+    place = f"{shared_dir(t.spark)}/lease_attempts_{uuid.uuid4().hex}"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(key)
+    try:
+        rows = leases.lease_attempts(jobs.events(leases.with_rocksdb(t.spark), t.sf_dir))
+        return jobs.run_to_table(rows, f"{place}/rows", f"{place}/checkpoint")
+    finally:
+        t.spark.conf.set(key, before)
+
+
+@query("published_cells", "c AS (SELECT source_id, entity_id, count(*) AS n FROM mentions GROUP BY ALL) SELECT * FROM c")
+def _(t):
+    root = f"{shared_dir(t.spark)}/cells_{uuid.uuid4().hex}"
+    cells = t.mentions.groupBy("source_id", "entity_id").agg(F.count("*").alias("n"))
+    for part in (cells.where("n > 1"), cells):
+        versions.publish(part, root)
+    return versions.read_current(t.spark.newSession(), root)
+
+
+def _snapshots(t):
+    root = f"{shared_dir(t.spark)}/snapshots_{uuid.uuid4().hex}"
+    own = t.mentions.select("entity_id", "source_id", "country", "publish_date", "power", "moral")
+    stats = [F.avg("power").alias("avg_power"), F.avg("moral").alias("avg_moral"), F.count("*").alias("mentions")]
+    kinds = {k: (own.groupBy(key, "publish_date").agg(*stats), key, ["publish_date"]) for k, key in (("entity", "entity_id"), ("source", "source_id"), ("country", "country"))}
+    return root, versions.export_all(kinds, root)
+
+
+@query("snapshot_manifest", " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, count(DISTINCT {key}) AS files, count(*) AS rows, 0::BIGINT AS skipped FROM (SELECT DISTINCT {key}, publish_date FROM mentions) WHERE {key} IS NOT NULL" for k, key in (("entity", "entity_id"), ("source", "source_id"), ("country", "country"))))
+def _(t):
+    return _snapshots(t)[1].drop("checksum")
+
+
+@query("snapshot_files", f"SELECT country, publish_date, round(avg(power), 4) + 0.0 AS avg_power, round(avg(moral), 4) + 0.0 AS avg_moral, count(*) AS mentions FROM mentions GROUP BY ALL")
+def _(t):
+    root, _ = _snapshots(t)
+    rows = versions.read_snapshots(t.spark, root, "country").select(F.from_json("value", "country string, publish_date date, avg_power double, avg_moral double, mentions long").alias("r"))
+    return rows.select("r.*")
