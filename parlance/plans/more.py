@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..fixtures import TYPES, _sql_case
+from ..fixtures import SQL, TYPES, _sql_case
 from ..functions import text as T
-from ..operators import entities, lookups, merging, narrative, rollups, similarity
+from ..operators import entities, lookups, merging, narrative, rollups, similarity, tracking
 from ..session import shared_dir
 from ..sources import versions
 from ..streaming import jobs, leases
@@ -300,3 +300,35 @@ def _(t):
     root, _ = _snapshots(t)
     rows = versions.read_snapshots(t.spark, root, "country").select(F.from_json("value", "country string, publish_date date, avg_power double, avg_moral double, mentions long").alias("r"))
     return rows.select("r.*")
+
+
+# tracks of clusters ---------------------------------------------------------------------------------------------
+
+LINKED = 0.4
+TRACKS = SQL.replace("WITH", "WITH RECURSIVE", 1) + f"""c AS (SELECT (publish_date - DATE '{YEAR}') // 30 AS interval, entity_id, source_id, avg((power + moral) / 2) AS value FROM mentions WHERE publish_date >= DATE '{YEAR}' AND publish_date < DATE '{END}' AND power IS NOT NULL AND moral IS NOT NULL GROUP BY ALL),
+nm AS (SELECT interval, entity_id, sqrt(sum(value * value)) AS norm FROM c GROUP BY ALL HAVING count(*) >= 3 AND sqrt(sum(value * value)) > 1e-9), u AS (SELECT interval, entity_id, source_id, value / norm AS v FROM c JOIN nm USING (interval, entity_id)),
+e AS (SELECT a.interval, a.entity_id AS a, b.entity_id AS b FROM u a JOIN u b ON a.interval = b.interval AND a.source_id = b.source_id AND a.entity_id < b.entity_id GROUP BY ALL HAVING round(sum(a.v * b.v), 9) >= {LINKED}),
+w AS (SELECT * FROM e UNION ALL SELECT interval, b, a FROM e), walk AS (SELECT interval, a, a AS node FROM w UNION SELECT walk.interval, walk.a, w.b FROM walk JOIN w ON w.interval = walk.interval AND w.a = node),
+cl AS (SELECT interval, a AS entity_id, min(node) AS cluster FROM walk GROUP BY ALL), z AS (SELECT interval, cluster, count(*) AS members FROM cl GROUP BY ALL),
+k AS (SELECT x.interval, x.cluster, y.cluster AS next, count(*) AS common FROM cl x JOIN cl y ON y.interval = x.interval + 1 AND y.entity_id = x.entity_id GROUP BY ALL),
+o AS (SELECT k.*, round(common / (a.members + b.members - common), 12) AS overlap FROM k JOIN z a ON a.interval = k.interval AND a.cluster = k.cluster JOIN z b ON b.interval = k.interval + 1 AND b.cluster = next),
+f AS (SELECT interval, cluster, count(*) AS to_clusters FROM o GROUP BY ALL), g AS (SELECT interval + 1 AS interval, next AS cluster, count(*) AS from_clusters FROM o GROUP BY ALL),
+s AS (SELECT interval, cluster, next, common FROM o QUALIFY row_number() OVER (PARTITION BY interval, cluster ORDER BY overlap DESC, next) = 1 INTERSECT SELECT interval, cluster, next, common FROM o QUALIFY row_number() OVER (PARTITION BY interval, next ORDER BY overlap DESC, cluster) = 1),
+t AS (SELECT interval, cluster, interval || '/' || cluster AS track FROM z WHERE NOT EXISTS (FROM s WHERE s.interval + 1 = z.interval AND s.next = z.cluster) UNION ALL SELECT t.interval + 1, s.next, track FROM t JOIN s ON s.interval = t.interval AND s.cluster = t.cluster),
+r AS (SELECT z.interval, z.cluster, members, track, CASE WHEN s.common IS NULL THEN 'birth' ELSE 'continued' END AS event, coalesce(from_clusters, 0) AS from_clusters, coalesce(to_clusters, 0) AS to_clusters, coalesce(s.common, 0) AS kept
+  FROM z JOIN t USING (interval, cluster) LEFT JOIN s ON s.interval + 1 = z.interval AND s.next = z.cluster LEFT JOIN f ON f.interval = z.interval AND f.cluster = z.cluster LEFT JOIN g ON g.interval = z.interval AND g.cluster = z.cluster)
+"""
+
+
+def _tracks(t):
+    return tracking.tracks(tracking.interval_clusters(t.mentions, YEAR, END, 30, LINKED))
+
+
+@query("cluster_tracks", TRACKS + "SELECT * FROM r", with_views=False)
+def _(t):
+    return _tracks(t)
+
+
+@query("cluster_lives", TRACKS + """SELECT track, min(interval) AS born, CASE WHEN max(interval) < (SELECT max(interval) FROM r) THEN max(interval) + 1 END AS died, count(*) AS intervals, max(members) AS most, count(*) FILTER (WHERE to_clusters > 1) AS splits, count(*) FILTER (WHERE from_clusters > 1) AS merges FROM r GROUP BY track""", with_views=False)
+def _(t):
+    return tracking.track_lives(_tracks(t))
