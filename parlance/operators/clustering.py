@@ -219,19 +219,6 @@ def topic_clusters(counts: DataFrame, mentions: DataFrame, entities: DataFrame,
     return members, topics
 
 
-def kmeans_sources(cells: DataFrame, k: int = 5, items: list[int] | None = None, seed: int = 42) -> DataFrame:
-    """k-means of sources over their values of entities (missing: zero); more than ``kernels.MAX_SIDE`` entities raise."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    columns = items or [r[0] for r in cells.select("entity_id").distinct().orderBy("entity_id").limit(kernels.MAX_SIDE + 1).collect()]
-    if len(columns) > kernels.MAX_SIDE:
-        raise ValueError(f"more than {kernels.MAX_SIDE} entities as features")
-    wide = cells.groupBy("source_id").pivot("entity_id", columns).agg(F.first("value")).na.fill(0.0)
-    rows = wide.select("source_id", array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("features")).cache()
-    return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("source_id", F.col("prediction").alias("cluster_id"))
-
-
 def lead_lag_tests(series: DataFrame, most: int = 4, permutations: int = 1000) -> DataFrame:
     """Best lag, r and permutation p of each source's weekly series against the mean of all."""
     overall = series.groupBy("period_start").agg(F.avg("value").alias("overall"))

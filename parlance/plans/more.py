@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import SQL, TYPES, _sql_case
 from ..functions import text as T
-from ..operators import entities, lookups, merging, narrative, rollups, similarity, tracking
+from ..operators import entities, lookups, merging, narrative, rollups, similarity, source_vectors, tracking
 from ..session import shared_dir
 from ..sources import versions
 from ..streaming import jobs, leases
@@ -332,3 +332,23 @@ def _(t):
 @query("cluster_lives", TRACKS + """SELECT track, min(interval) AS born, CASE WHEN max(interval) < (SELECT max(interval) FROM r) THEN max(interval) + 1 END AS died, count(*) AS intervals, max(members) AS most, count(*) FILTER (WHERE to_clusters > 1) AS splits, count(*) FILTER (WHERE from_clusters > 1) AS merges FROM r GROUP BY track""", with_views=False)
 def _(t):
     return tracking.track_lives(_tracks(t))
+
+
+# sources as vectors ---------------------------------------------------------------------------------------------
+
+VECTORS = f"""c AS (SELECT source_id, entity_id, avg((power + moral) / 2) AS value FROM mentions WHERE publish_date >= DATE '{YEAR}' AND publish_date < DATE '{END}' GROUP BY ALL), ke AS (SELECT entity_id FROM c GROUP BY entity_id HAVING count(*) >= 3),
+cc AS (SELECT * FROM c WHERE entity_id IN (FROM ke)), bs AS (SELECT source_id FROM cc GROUP BY source_id HAVING count(*) >= 10), v AS (SELECT * FROM cc WHERE source_id IN (FROM bs) AND value IS NOT NULL)"""
+
+
+@query("source_bias_profiles", VECTORS + f""", ss AS (SELECT DISTINCT source_id FROM v), o AS (SELECT entity_id, sum(value) / (SELECT count(*) FROM ss) AS overall FROM v GROUP BY entity_id),
+g AS (SELECT source_id, entity_id, coalesce(value, 0) AS value, overall, coalesce(value, 0) - overall AS difference FROM ss CROSS JOIN o LEFT JOIN v USING (source_id, entity_id))
+SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY round(abs(difference), 9) DESC, entity_id)::INT AS rank, entity_id, {r('value')} AS value, {r('overall')} AS overall, {r('difference')} AS difference FROM g QUALIFY rank <= 10""")
+def _(t):
+    return source_vectors.bias_profiles(source_vectors.vectors(t.mentions, YEAR, END))
+
+
+@query("source_density_groups", SQL.replace("WITH", "WITH RECURSIVE", 1) + VECTORS + """, nm AS (SELECT source_id, sqrt(sum(value * value)) AS norm FROM v GROUP BY source_id HAVING sqrt(sum(value * value)) > 1e-9), u AS (SELECT source_id, entity_id, value / norm AS x FROM v JOIN nm USING (source_id)),
+e AS (SELECT a.source_id AS a, b.source_id AS b FROM u a JOIN u b ON a.entity_id = b.entity_id AND a.source_id <> b.source_id GROUP BY ALL HAVING round(sum(a.x * b.x), 9) >= 0.6), walk AS (SELECT a AS id, a AS node FROM e UNION SELECT id, b FROM walk JOIN e ON node = a), k AS (SELECT id, min(node) AS root FROM walk GROUP BY id)
+SELECT source_id, coalesce(root, -1)::BIGINT AS group_id FROM (SELECT DISTINCT source_id FROM v) LEFT JOIN k ON id = source_id""", with_views=False)
+def _(t):
+    return source_vectors.density_groups(source_vectors.vectors(t.mentions, YEAR, END))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import SQL, News
 from ..functions import text as T
-from ..operators import clustering, decomposition, entities, narrative, publishers, rollups, similarity
+from ..operators import clustering, decomposition, entities, narrative, publishers, rollups, similarity, source_vectors
 from ..operators.entities import rounded
 from ..session import shared_dir
 
@@ -720,7 +720,7 @@ def _(t):
 
 @query("source_kmeans")
 def _(t):
-    return clustering.kmeans_sources(similarity_cells(t), 5)
+    return source_vectors.kmeans(source_vectors.vectors(t.mentions, YEAR, END), 5)
 
 
 @query("lead_lag_permutation")
