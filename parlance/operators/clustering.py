@@ -134,23 +134,45 @@ def monthly_clusters(pairs: DataFrame, sources: DataFrame, first: int = 5, least
     return alone.unionByName(rows), graphs.cluster_quality(near, clusters, 1.0).withColumnRenamed("grp", "country")
 
 
-def source_map(cells: DataFrame, least: int = 10, least_pairs: int = 3, dimensions: int = 2) -> DataFrame:
-    """Positions of sources by weighted multidimensional scaling of 1 - r; sources with too few known pairs are left out."""
+def mappable(cells: DataFrame, countries: DataFrame, breadth: int = 3, least: int = 10, least_pairs: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(cells, pairs) that a map can place: entities that sources of ``breadth`` countries cover, and sources that then have ``least`` of them and ``least_pairs`` known pairs.
+
+    ``countries`` has source_id and country; a source without one counts for no breadth. A source that is dropped takes its
+    pairs along, so the last step is repeated until all that are left have enough; fewer than three sources are none.
+    """
+    wide = cells.join(countries.where("country IS NOT NULL"), "source_id").groupBy("entity_id").agg(F.count_distinct("country").alias("k")).where(F.col("k") >= breadth).select("entity_id")
+    shared = cells.join(wide, "entity_id", "left_semi")
+    covered = shared.groupBy("source_id").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("source_id")
+    shared = materialize(shared.join(covered, "source_id", "left_semi"), "shared")
+    pairs = materialize(pearson_pairs(shared, least=least), "pairs")
+    sources = materialize(covered, "sources")
+    while True:
+        n = sources.count()
+        known = both_ways(pairs.where("r IS NOT NULL").select("a", "b")).groupBy("a").agg(F.count("*").alias("k"))
+        kept = materialize(known.where(F.col("k") >= least_pairs).select(F.col("a").alias("source_id")), "sources")
+        left = kept.count()
+        if left < 3:
+            return shared.limit(0), pairs.limit(0)
+        if left == n:
+            return shared.join(kept, "source_id", "left_semi"), pairs
+        ends = pairs.join(kept.withColumnRenamed("source_id", "a"), "a", "left_semi")
+        pairs = materialize(ends.join(kept.withColumnRenamed("source_id", "b"), "b", "left_semi").select("a", "b", "r", "common"), "pairs")
+        sources = kept
+
+
+def source_map(cells: DataFrame, countries: DataFrame, breadth: int = 3, least: int = 10, least_pairs: int = 3, dimensions: int = 2) -> DataFrame:
+    """Positions of the ``mappable`` sources by weighted multidimensional scaling of 1 - r, in one task of at most ``kernels.MAX_SIDE`` sources."""
+    cells, pairs = mappable(cells, countries, breadth, least, least_pairs)
+    alone = cells.select(F.col("source_id").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("r"), F.lit(0).cast("long").alias("common")).distinct()
+    rows = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "r", "common").unionByName(alone)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         items, r, common = _square(rows)
-        kept = np.arange(len(items))
-        while len(kept):
-            known = (~np.isnan(r[np.ix_(kept, kept)])).sum(1) - 1
-            if known.min() >= least_pairs:
-                break
-            kept = kept[known >= least_pairs] if (known >= least_pairs).any() and len(kept) > 1 else kept[:0]
-        block = np.ix_(kept, kept)
-        x, stress = kernels.weighted_mds(1 - r[block], np.clip(common[block] / 50, 0, 1), dimensions)
-        x = np.pad(x, ((0, 0), (0, max(0, 2 - x.shape[1])))) if len(kept) else np.zeros((0, 2))
-        return pd.DataFrame({"source_id": [items[k] for k in kept], "x": x[:, 0], "y": x[:, 1], "stress": stress})
-
-    return _grouped_pairs(cells, None, least).groupBy("grp").applyInPandas(run, "source_id long, x double, y double, stress double")
+        x, stress = kernels.weighted_mds(1 - r, np.clip(common / 50, 0, 1), dimensions)
+        x = np.pad(x, ((0, 0), (0, max(0, 2 - x.shape[1]))))
+        return pd.DataFrame({"source_id": items, "x": x[:, 0], "y": x[:, 1], "stress": stress})
+
+    return rows.groupBy(F.lit("all")).applyInPandas(run, "source_id long, x double, y double, stress double")
 
 
 def seriation(cells: DataFrame, groups: DataFrame | None = None, least: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import SQL, TYPES, _sql_case
 from ..functions import text as T
-from ..operators import entities, lookups, merging, narrative, rollups, similarity, source_vectors, tracking
+from ..operators import entities, ledger, lookups, merging, narrative, rollups, similarity, source_vectors, tracking
 from ..session import shared_dir
 from ..sources import versions
 from ..streaming import jobs, leases
@@ -352,3 +352,45 @@ e AS (SELECT a.source_id AS a, b.source_id AS b FROM u a JOIN u b ON a.entity_id
 SELECT source_id, coalesce(root, -1)::BIGINT AS group_id FROM (SELECT DISTINCT source_id FROM v) LEFT JOIN k ON id = source_id""", with_views=False)
 def _(t):
     return source_vectors.density_groups(source_vectors.vectors(t.mentions, YEAR, END))
+
+
+# ledgers and limited streams ------------------------------------------------------------------------------------
+
+AS_OF = "2001-07-31 12:00:00"
+
+
+def _ledger(t):
+    """Orders as batches: the remote side lists them all, the ledger has two thirds of them, some with an older state."""
+    o = t.table("orders").select(F.col("o_orderkey").cast("string").alias("batch_id"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("at"), "o_orderstatus", "o_totalprice")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "in_progress").otherwise("expired")
+    remote = o.select("batch_id", status.alias("status"), F.when((status == "completed") & (F.col("o_totalprice") > 100_000), F.concat(F.lit("file-"), "batch_id")).alias("output_file_id"), F.col("at").alias("created_at"))
+    known = o.where("k % 3 <> 0").select("batch_id", F.when(F.col("k") % 2 == 0, "validating").otherwise(status).alias("status"), F.lit(None).cast("string").alias("output_file_id"), F.col("at").alias("submitted_at"), (F.col("k") % 5 == 0).alias("collected"), F.lit(None).cast("string").alias("error"))
+    return known, remote
+
+
+RECONCILED = f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS batch_id, o_orderdate::TIMESTAMP AS day, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in_progress' ELSE 'expired' END AS status, o_totalprice FROM orders),
+b AS (SELECT k, batch_id, day, CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'validating' ELSE status END END AS old_status, k % 3 <> 0 AND k % 5 = 0 AS collected, status, CASE WHEN status = 'completed' AND o_totalprice > 100000 THEN 'file-' || batch_id END AS output_file_id FROM o),
+x AS (SELECT *, CASE WHEN old_status IS NULL THEN CASE WHEN status = 'in_progress' THEN 'adopt' WHEN day >= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR THEN CASE WHEN output_file_id IS NOT NULL THEN 'ingest' ELSE 'resolve' END END
+  WHEN NOT collected THEN CASE WHEN status <> 'in_progress' THEN CASE WHEN output_file_id IS NOT NULL THEN 'ingest' ELSE 'resolve' END WHEN status <> old_status THEN 'update' END END AS action FROM b)
+"""
+
+
+@query("batch_transitions", RECONCILED + "SELECT batch_id, action, old_status, status, output_file_id, day AS submitted_at FROM x WHERE action IS NOT NULL", with_views=False)
+def _(t):
+    return ledger.transitions(*_ledger(t), AS_OF)
+
+
+@query("batch_ledger", RECONCILED + """SELECT batch_id, CASE WHEN action IS NULL THEN old_status ELSE status END AS status, CASE WHEN action IS NOT NULL THEN output_file_id END AS output_file_id, day AS submitted_at, CASE WHEN action IS NULL THEN collected ELSE action IN ('ingest', 'resolve') END AS collected, CASE WHEN action = 'resolve' THEN status END AS error FROM x WHERE action IS NOT NULL OR old_status IS NOT NULL""", with_views=False)
+def _(t):
+    known, remote = _ledger(t)
+    once = ledger.applied(known, ledger.transitions(known, remote, AS_OF))
+    # the same listing again changes nothing
+    return ledger.applied(once, ledger.transitions(once, remote, AS_OF))
+
+
+@query("limited_ingest", "SELECT page_id, url FROM pages WHERE contains(url, '/en/') ORDER BY page_id LIMIT 100", with_views=False)
+def _(t):
+    place = f"{shared_dir(t.spark)}/limited_{uuid.uuid4().hex}"
+    # a pattern, so that a table that is one file and one that is a folder are both read
+    pages = t.spark.readStream.schema("page_id long, url string").parquet(f"{t.sf_dir}/page[s].parquet")
+    return jobs.ingest_matched(pages, F.contains("url", F.lit("/en/")), "page_id", 100, f"{place}/rows", f"{place}/checkpoint")

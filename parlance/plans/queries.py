@@ -661,13 +661,21 @@ def _(t):
 
 @query("source_map_mds")
 def _(t):
-    return clustering.source_map(similarity_cells(t))
+    return clustering.source_map(similarity_cells(t), t.sources.select("source_id", "country"))
+
+
+@query("mappable_pairs", WINDOW_CELLS + f""", wide AS (SELECT entity_id FROM wcells JOIN sources USING (source_id) GROUP BY entity_id HAVING count(DISTINCT country) >= 3), sh AS (SELECT * FROM wcells WHERE entity_id IN (FROM wide)),
+cov AS (SELECT source_id FROM sh GROUP BY source_id HAVING count(*) >= 10), mc AS (SELECT * FROM sh WHERE source_id IN (FROM cov)),
+mp AS (SELECT a.source_id AS a, b.source_id AS b, {guarded('a.value', 'b.value', 10)} AS r, count(*) AS common FROM mc a JOIN mc b ON a.entity_id = b.entity_id AND a.source_id < b.source_id GROUP BY ALL)
+SELECT a, b, {r('r')} AS r, common FROM mp""")
+def _(t):
+    return clustering.mappable(similarity_cells(t), t.sources.select("source_id", "country"))[1]
 
 
 @query("axis_correlates")
 def _(t):
     cells = similarity_cells(t)
-    return clustering.axis_anatomy(cells, clustering.source_map(cells))
+    return clustering.axis_anatomy(cells, clustering.source_map(cells, t.sources.select("source_id", "country")))
 
 
 @query("seriation")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -109,6 +109,33 @@ def run_to_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return written.select(*rows.columns)
 
 
+def ingest_matched(rows: DataFrame, matched: Column, order: str, limit: int, path: str, checkpoint: str) -> DataFrame:
+    """Take rows of a stream that are ``matched``, at most ``limit`` in all, and return what is taken; of a micro-batch the first by ``order``.
+
+    The count is that of the batches before, which stand in folders of their own, so a batch that is run again takes the
+    same rows, and a stream that goes on from its checkpoint neither loses nor repeats one. At the limit it stops reading.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch long"
+    spark = rows.sparkSession
+
+    def taken() -> DataFrame:
+        return table_or_empty(spark, path, schema)
+
+    def write(batch: DataFrame, number: int) -> None:
+        left = limit - taken().where(F.col("batch") < number).count()
+        batch.where(matched).orderBy(order).limit(max(0, left)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if taken().where(F.col("batch") <= number).count() >= limit:
+            full.append(number)
+
+    full: list[int] = []
+    if taken().count() < limit:
+        stream = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        while not stream.awaitTermination(1):
+            if full:
+                stream.stop()
+    return taken().select(*rows.columns)
+
+
 def trailing_stats(rows: DataFrame, width: str = "7 days", slide: str = "1 day", late: str = "14 days", key: str = "event_type") -> DataFrame:
     """Moments of each key over the trailing windows; state older than the watermark is dropped."""
     out = rows.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), key)

@@ -99,3 +99,20 @@ def test_topics_against_a_plain_version(spark, least):
         named[topic] = (len(own), pytest.approx(np.mean(every) if every else 0.0), " & ".join(f"n{e}" for e in key))
     assert {r["entity_id"]: r["topic"] for r in members.collect()} == want
     assert {r["topic"]: (r["members"], r["coherence"], r["name"]) for r in topics.collect()} == named
+
+
+def test_a_map_drops_sources_until_all_have_pairs(spark):
+    rng = np.random.default_rng(5)
+    cells = [(s, e, float(rng.normal())) for s in range(5) for e in range(12)]
+    cells += [(5, e, float(rng.normal())) for e in range(8)] + [(5, 60 + e, 1.0) for e in range(9)]  # local coverage does not count
+    # 6 and 7 know each other and too few others: 7 goes, then 6
+    cells += [(6, e, float(rng.normal())) for e in range(20, 42)] + [(7, e, float(rng.normal())) for e in range(20, 30)] + [(8, e, float(rng.normal())) for e in range(30, 41)]
+    countries = [(s, f"c{s % 4}") for s in range(9)]
+    cells += [(9, e, 0.5 * e) for e in range(20, 42)]
+    frames = spark.createDataFrame(cells, "source_id long, entity_id long, value double"), spark.createDataFrame([*countries, (9, None)], "source_id long, country string")
+    kept, pairs = clustering.mappable(*frames)
+    assert sorted(r[0] for r in kept.select("source_id").distinct().collect()) == [0, 1, 2, 3, 4]
+    assert pairs.count() == 10 and pairs.where("b > 4").count() == 0
+    found = clustering.source_map(*frames).collect()
+    assert len(found) == 5 and len({r["stress"] for r in found}) == 1
+    assert clustering.mappable(*frames, least_pairs=5)[1].count() == 0
