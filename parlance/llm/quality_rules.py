@@ -19,14 +19,17 @@ from .common import materialize, split_words
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 #: Documents that a group needs for thresholds of its own, and quartile ranges beyond a quartile that reject.
 MIN_GROUP, REACH = 50, 8
-#: Measures: numerator, scale, denominator, least quartile range, and whether low values reject too. The least ranges
-#: keep the fences of groups in which a measure is nearly always zero from rejecting a single mark or repetition.
+#: Measures: numerator, scale, denominator, and whether low values reject too.
 MEASURES = {
-    "symbols": ("n_symbols", 1000, "n_words", 25, False),
-    "echoes": ("n_echoes", 1000, "n_words", 8, False),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 60, False),
-    "word_length": ("word_chars", 100, "n_words", 40, True),
+    "symbols": ("n_symbols", 1000, "n_words", False),
+    "echoes": ("n_echoes", 1000, "n_words", False),
+    "dup_lines": ("n_dup_lines", 1000, "n_words", False),
+    "word_length": ("word_chars", 100, "n_words", True),
 }
+#: A quartile range counts as at least what one event is in a short document of the group (its first quartile of words),
+#: or for a length as this part of the first quartile; so where a measure is nearly always zero the fence follows from
+#: the group's own sizes, and one event alone rejects nothing.
+PART = 16
 
 
 def _let(value: Column, body) -> Column:
@@ -83,7 +86,10 @@ def _bucket(value: Column) -> Column:
 
 
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, total, low, high) from a sketch (keys, metric, bucket, n): quartiles and what lies far outside."""
+    """(keys, metric, total, low, high) from a sketch (keys, metric, bucket, n): quartiles and what lies far outside.
+
+    The sketch of the metric ``words`` gives the size of a short document.
+    """
     group = Window.partitionBy(*keys, "metric")
     rows = sketch.withColumns({"below": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
     quarts = rows.groupBy(*keys, "metric").agg(
@@ -91,7 +97,8 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
         F.min(F.when(4 * F.col("below") >= F.col("total"), F.col("bucket"))).alias("q1"),
         F.min(F.when(4 * F.col("below") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
     )
-    least = reduce(lambda c, m: c.when(F.col("metric") == m, MEASURES[m][3]), MEASURES, F.when(F.lit(False), 0))
+    short = F.max(F.when(F.col("metric") == "words", F.greatest("q1", F.lit(1)))).over(Window.partitionBy(*keys))
+    least = F.floor(F.when(F.col("metric") == "word_length", F.col("q1") / PART).otherwise(1000 / short))
     reach = REACH * F.greatest(F.col("q3") - F.col("q1"), least)
     return quarts.select(*keys, "metric", "total", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
 
@@ -99,6 +106,7 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(measured: DataFrame) -> DataFrame:
     """One row for each (lang, source) of ``measured``: m_low and m_high for every measure m."""
     values = [F.struct(F.lit(m).alias("metric"), _bucket(F.col(f"m_{m}")).alias("bucket")) for m in MEASURES]
+    values.append(F.struct(F.lit("words").alias("metric"), _bucket(F.col("n_words")).alias("bucket")))
     cells = measured.select("lang", "source", F.explode(F.array(*values)).alias("v")).select("lang", "source", "v.metric", "v.bucket")
     sketch = materialize(cells.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n")), "sketch")
     merged = lambda *keys: sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
@@ -154,9 +162,9 @@ WITH base AS (
 ), judged AS (
   SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AS base_failed FROM counted
 ), values_ AS (
-  SELECT rid, lang, source, base_failed, unnest(['symbols', 'echoes', 'dup_lines', 'word_length']) AS metric,
+  SELECT rid, lang, source, base_failed, unnest(['symbols', 'echoes', 'dup_lines', 'word_length', 'words']) AS metric,
          unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_echoes // greatest(n_words, 1),
-                 1000 * n_dup_lines // greatest(n_lines, 1), 100 * word_chars // greatest(n_words, 1)]) AS v
+                 1000 * n_dup_lines // greatest(n_words, 1), 100 * word_chars // greatest(n_words, 1), n_words]) AS v
   FROM judged
 ), cells AS (
   SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n
@@ -170,8 +178,10 @@ WITH base AS (
 ), quarts AS (
   SELECT level, lang, source, metric, max(total) AS total, min(bucket) FILTER (WHERE 4 * below >= total) AS q1, min(bucket) FILTER (WHERE 4 * below >= 3 * total) AS q3
   FROM summed GROUP BY level, lang, source, metric
+), shorts AS (
+  SELECT *, max(greatest(q1, 1)) FILTER (WHERE metric = 'words') OVER (PARTITION BY level, lang, source) AS short FROM quarts
 ), fences AS (
-  SELECT *, {REACH} * greatest(q3 - q1, CASE metric WHEN 'symbols' THEN 25 WHEN 'echoes' THEN 8 WHEN 'dup_lines' THEN 60 ELSE 40 END) AS reach FROM quarts
+  SELECT *, {REACH} * greatest(q3 - q1, CASE metric WHEN 'word_length' THEN q1 // {PART} ELSE 1000 // short END) AS reach FROM shorts WHERE metric <> 'words'
 ), far AS (
   SELECT v.rid, bool_or(v.v > f.q3 + f.reach OR (v.metric = 'word_length' AND v.v < f.q1 - f.reach)) AS far
   FROM values_ v
