@@ -664,10 +664,16 @@ def _(t):
     return clustering.source_map(similarity_cells(t), t.sources.select("source_id", "country"))
 
 
+#: Sources drop out until all have three known pairs; in SQL this is so many rounds, more than the tables take.
+_ROUNDS = 8
+_CORES = ", ".join(f"k{i + 1} AS (SELECT s FROM (SELECT a AS s FROM mp WHERE r IS NOT NULL AND a IN (FROM k{i}) AND b IN (FROM k{i}) UNION ALL SELECT b FROM mp WHERE r IS NOT NULL AND a IN (FROM k{i}) AND b IN (FROM k{i})) GROUP BY s HAVING count(*) >= 3)" for i in range(_ROUNDS))
+
+
 @query("mappable_pairs", WINDOW_CELLS + f""", wide AS (SELECT entity_id FROM wcells JOIN sources USING (source_id) GROUP BY entity_id HAVING count(DISTINCT country) >= 3), sh AS (SELECT * FROM wcells WHERE entity_id IN (FROM wide)),
 cov AS (SELECT source_id FROM sh GROUP BY source_id HAVING count(*) >= 10), mc AS (SELECT * FROM sh WHERE source_id IN (FROM cov)),
-mp AS (SELECT a.source_id AS a, b.source_id AS b, {guarded('a.value', 'b.value', 10)} AS r, count(*) AS common FROM mc a JOIN mc b ON a.entity_id = b.entity_id AND a.source_id < b.source_id GROUP BY ALL)
-SELECT a, b, {r('r')} AS r, common FROM mp""")
+mp AS (SELECT a.source_id AS a, b.source_id AS b, {guarded('a.value', 'b.value', 10)} AS r, count(*) AS common FROM mc a JOIN mc b ON a.entity_id = b.entity_id AND a.source_id < b.source_id GROUP BY ALL),
+k0 AS (SELECT source_id AS s FROM cov), {_CORES}
+SELECT a, b, {r('r')} AS r, common FROM mp WHERE a IN (FROM k{_ROUNDS}) AND b IN (FROM k{_ROUNDS}) AND (SELECT count(*) FROM k{_ROUNDS}) >= 3""")
 def _(t):
     return clustering.mappable(similarity_cells(t), t.sources.select("source_id", "country"))[1]
 
