@@ -43,9 +43,47 @@ def test_against_sql(spark, small, duck, name):
     assert Counter(tuple(plain(r[c]) for c in columns) for r in ours.collect()) == want
 
 
+def once(rows, *keys):
+    return len({tuple(r[k] for k in keys) for r in rows}) == len(rows)
+
+
+def one_centroid(rows):
+    """Each source once, members counted right, one centroid a cluster."""
+    sizes = Counter((r["grp"], r["cluster_id"]) for r in rows)
+    centres = Counter((r["grp"], r["cluster_id"]) for r in rows if r["is_centroid"])
+    return once(rows, "grp", "source_id") and all(r["members"] == sizes[r["grp"], r["cluster_id"]] for r in rows) and set(centres) == set(sizes) and set(centres.values()) <= {1}
+
+
+def in_order(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["grp"], []).append(r["position"])
+    return once(rows, "grp", "source_id") and all(sorted(p) == list(range(len(p))) for p in groups.values())
+
+
+#: What holds for the rows of queries without SQL; their values are tested on small inputs elsewhere.
+HOLDS = {
+    "source_clusters": one_centroid,
+    "country_clusters": lambda rows: once(rows, "source_id") and {r["cluster_level"] for r in rows} <= {1, 2} and all(-1 <= r["similarity"] <= 1 for r in rows),
+    "country_cluster_quality": lambda rows: once(rows, "country") and all(-1 <= r["silhouette"] <= 1 and r["within"] <= 1 for r in rows),
+    "weekly_similarity_clusters": lambda rows: rows and once(rows, "source_id") and all(r["cluster_id"].startswith("2001-07-30-C") for r in rows),
+    "source_map_mds": lambda rows: once(rows, "source_id") and all(math.isfinite(r["x"]) and math.isfinite(r["y"]) and 0 <= r["stress"] < 1 for r in rows),
+    "axis_correlates": lambda rows: once(rows, "axis", "entity_id") and all(0.3 <= abs(r["r"]) <= 1 and r["n"] >= 15 for r in rows),
+    "seriation": in_order,
+    "entity_embeddings_svd": lambda rows: rows and once(rows, "entity_id") and {len(r["vector"]) for r in rows} == {24},
+    "sentiment_embeddings_svd": lambda rows: rows and once(rows, "entity_id") and {len(r["vector"]) for r in rows} == {24},
+    "source_kmeans": lambda rows: once(rows, "source_id") and {r["cluster_id"] for r in rows} <= set(range(5)),
+    "layered_normal_significance": lambda rows: rows and all(0 <= r["p_value"] <= 1 and 0 <= r["percentile"] <= 100 and r["low"] <= r["high"] for r in rows),
+    "fuzzy_review_band": lambda rows: rows and all(r["a"] < r["b"] and 0.85 <= r["ratio"] < 1 for r in rows),
+    "html_to_text": lambda rows: rows and once(rows, "page_id") and any(r["text"] for r in rows),
+    "stream_lease_timeout": lambda rows: {r["status"] for r in rows} == {"completed", "reset"},
+    "stream_lease_attempts": lambda rows: rows and {r["status"] for r in rows} <= {"completed", "reset", "retired"} and all(1 <= r["attempts"] <= 3 and len(r["begun"]) == r["attempts"] for r in rows),
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"lead_lag_permutation"}))
-def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+def test_without_sql(spark, small, name):
+    assert HOLDS[name](QUERIES[name](spark, small).collect())
 
 
 def test_entry(spark):
