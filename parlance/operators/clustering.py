@@ -268,3 +268,21 @@ def layered_significance(layers: DataFrame, value: float = 1.0) -> DataFrame:
 
     schema = ", ".join(f"{c} {t}" for c, t in layers.dtypes) + ", percentile double, p_value double, low double, high double"
     return layers.mapInPandas(run, schema)
+
+
+def combined_significance(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(entity_id, source_id, layers, p_combined): Fisher's combined p of a reading over an entity's source, its country and the world.
+
+    ``rows`` are those of ``layered_significance``, ``sources`` has source_id and country. Every source with a layer of its
+    own has a row; a country or world that has none counts for nothing. Of k layers the statistic has 2 k degrees of
+    freedom, whose tail is exp(-x) times the sum of x ** i / i! below k, x being minus the sum of the logarithms.
+    """
+    own = rows.where("layer = 'source'").select("entity_id", "source_id", F.col("p_value").alias("p_source")).join(sources.select("source_id", "country"), "source_id", "left")
+    nation = rows.where("layer = 'national'").select("entity_id", "country", F.col("p_value").alias("p_nation"))
+    world = rows.where("layer = 'global'").select("entity_id", F.col("p_value").alias("p_world"))
+    joined = own.join(nation, ["entity_id", "country"], "left").join(world, "entity_id", "left")
+    known = F.array_compact(F.array("p_source", "p_nation", "p_world"))
+    x = F.aggregate(known, F.lit(0.0), lambda t, p: t - F.log(F.greatest(p, F.lit(1e-300))))
+    k = F.size(known)
+    terms = F.lit(1.0) + F.when(k > 1, x).otherwise(0.0) + F.when(k > 2, x * x / 2).otherwise(0.0)
+    return joined.select("entity_id", "source_id", k.alias("layers"), F.least(F.lit(1.0), F.exp(-x) * terms).alias("p_combined"))

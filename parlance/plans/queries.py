@@ -747,6 +747,11 @@ def _(t):
     return clustering.layered_significance(publishers.layers(t.mentions))
 
 
+@query("layered_fisher")
+def _(t):
+    return clustering.combined_significance(clustering.layered_significance(publishers.layers(t.mentions)), t.sources)
+
+
 @query("fuzzy_review_band")
 def _(t):
     # the tables' names are far apart, so spellings of some of them come with them

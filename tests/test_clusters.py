@@ -116,3 +116,12 @@ def test_a_map_drops_sources_until_all_have_pairs(spark):
     found = clustering.source_map(*frames).collect()
     assert len(found) == 5 and len({r["stress"] for r in found}) == 1
     assert clustering.mappable(*frames, least_pairs=5)[1].count() == 0
+
+
+def test_fisher_over_layers(spark):
+    rows = [(1, "global", None, None, 0.05), (1, "national", "x", None, 0.2), (1, "source", None, 7, 0.01), (1, "source", None, 8, 0.5), (2, "source", None, 7, 0.3), (3, "global", None, None, 0.1)]
+    layers = spark.createDataFrame(rows, "entity_id long, layer string, country string, source_id long, p_value double")
+    found = clustering.combined_significance(layers, spark.createDataFrame([(7, "x"), (8, "y")], "source_id long, country string"))
+    got = {(r["entity_id"], r["source_id"]): (r["layers"], r["p_combined"]) for r in found.collect()}
+    want = {(1, 7): [0.05, 0.2, 0.01], (1, 8): [0.05, 0.5], (2, 7): [0.3]}
+    assert got == {k: (len(p), pytest.approx(kernels.fisher(p))) for k, p in want.items()}

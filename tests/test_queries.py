@@ -74,6 +74,7 @@ HOLDS = {
     "sentiment_embeddings_svd": lambda rows: rows and once(rows, "entity_id") and {len(r["vector"]) for r in rows} == {24},
     "source_kmeans": lambda rows: once(rows, "source_id") and {r["cluster_id"] for r in rows} <= set(range(5)),
     "layered_normal_significance": lambda rows: rows and all(0 <= r["p_value"] <= 1 and 0 <= r["percentile"] <= 100 and r["low"] <= r["high"] for r in rows),
+    "layered_fisher": lambda rows: once(rows, "entity_id", "source_id") and all(0 <= r["p_combined"] <= 1 and r["layers"] in (2, 3) for r in rows),
     "fuzzy_review_band": lambda rows: rows and all(r["a"] < r["b"] and 0.85 <= r["ratio"] < 1 for r in rows),
     "html_to_text": lambda rows: rows and once(rows, "page_id") and any(r["text"] for r in rows),
     "stream_lease_timeout": lambda rows: {r["status"] for r in rows} == {"completed", "reset"},
