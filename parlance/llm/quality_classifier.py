@@ -1,8 +1,8 @@
 """Quality classification by compression: which of two zstandard dictionaries shortens a text more.
 
-One dictionary is built from good and one from bad labelled text. A text is compressed whole with either, and
-block by block; the differences of the compressed sizes over the text's or the block's size are the signal. A
-logistic regression on labelled rows that no dictionary has seen turns them into a probability of the good label.
+One dictionary is built from good and one from bad labelled text. A text is compressed with either, whole and block by
+block; the normalised differences of the two compressed sizes, and nothing else, are the signal. A logistic regression
+on labelled rows that no dictionary has seen turns them into a probability of the good label.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from .common import arrow_rows, discard, materialize
 #: The fit's bounds: rows of either label (half for dictionaries, half for calibration), bytes of text that teach a
 #: dictionary (whole texts as long as they fit, the first one whatever its size), its bytes, and the compression level.
 SAMPLE, TAUGHT_BYTES, DICTIONARY, LEVEL = 3000, 8 << 20, 112_640, 3
-#: Bytes of a block; a text's blocks are looked at one by one, so that a bad part of a good text shows.
-BLOCK = 512
+#: Bytes of a block; a text's blocks are looked at one by one, so that a bad part of a good text shows, and the points
+#: of the order of their differences that are looked at.
+BLOCK, POINTS = 128, np.array([0, 0.5, 1])
 
 
 @dataclass(frozen=True)
@@ -49,25 +50,30 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def features(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
-    """Of each whole text: the difference over its size, its root, the least and greatest of its blocks; the compressed
-    share of the text, the least of its blocks, and what all blocks lose against the whole; the log of its size.
+    """Of each whole text: differences of the compressed sizes, of the text itself and at ``POINTS`` of its blocks' order.
 
-    An empty text has no difference and is not compressed.
+    A difference is normalised twice: by the text's or block's size and by the two compressed sizes. The text's own comes
+    as its root too. A text or block of few bytes counts 40 more. An empty text has no difference and is not compressed.
     """
     better, worse = _compressor(good), _compressor(bad)
-    out = np.zeros((len(texts), 8))
-    out[:, 4:6], out[:, 7] = 1, np.log(40)
+    out = np.zeros((len(texts), 3 + 2 * len(POINTS)))
     for i, text in enumerate(texts):
         if n := len(text):
-            sizes = [(len(b), len(better.compress(b)), len(worse.compress(b))) for b in [text, *[text[k : k + BLOCK] for k in range(0, n, BLOCK)]][: None if n > BLOCK else 1]]
-            size, small, other = np.array(sizes, np.float64).T
-            gap, share = (other - small) / (size + 40), (small + 8) / (size + 8)
-            own = slice(1 if n > BLOCK else 0, None)
-            out[i] = gap[0], np.sign(gap[0]) * np.sqrt(abs(gap[0])), gap[own].min(), gap[own].max(), share[0], share[own].min(), small[own].sum() / (n + 40) - share[0], np.log(n + 40)
+            small, other = np.array([(len(better.compress(b)), len(worse.compress(b))) for b in (text[k : k + BLOCK] for k in range(0, n, BLOCK))], np.float64).T
+            size = np.full(len(small), float(BLOCK))
+            size[-1] = n - BLOCK * (len(small) - 1)
+            orders = np.sort([(other - small) / (size + 40), (other - small) / (other + small)], axis=1)
+            own, opposite = len(better.compress(text)), len(worse.compress(text))
+            gap = (opposite - own) / (n + 40)
+            at = POINTS * (len(small) - 1)
+            low = at.astype(int)
+            high = np.minimum(low + 1, len(small) - 1)
+            out[i, :3] = gap, np.sign(gap) * np.sqrt(abs(gap)), (opposite - own) / (opposite + own)
+            out[i, 3:] = (orders[:, low] + (orders[:, high] - orders[:, low]) * (at - low)).ravel()
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.03) -> np.ndarray:
     """Weighted logistic regression by Newton steps; the first coefficient is the constant."""
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
     w = np.zeros(x.shape[1])
@@ -82,12 +88,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary from all of the texts, or where they are too few for its trainer the texts themselves."""
+    """A dictionary from all of the texts, or where its trainer can't make one as many evenly spaced pieces of them as fit."""
     content = b"\n".join(texts)
+    pieces = [content[i : i + 2048] for i in range(0, len(content), 2048)]
     try:
-        return zstandard.train_dictionary(DICTIONARY, [content[i : i + 2048] for i in range(0, len(content), 2048)]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:
-        return content[-DICTIONARY:] or b"\n" * 8
+        return b"".join(pieces[:: -(-len(content) // DICTIONARY) or 1]) or b"\n" * 8
 
 
 def fit_features(x: np.ndarray, y: np.ndarray, share: float, good: bytes, bad: bytes) -> Model:

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,24 @@ def test_quality_held_out(spark, small):
         assert sum(g > b for g in good for b in bad) >= 0.9 * len(good) * len(bad)
 
 
+def test_quality_features_by_definition():
+    """Every feature of whole texts against the definition, block by block."""
+    words = [b"fine words of sense ", b"$$ %% ### || ", b"\xff\x00raw ", "\u00e9t\u00e9 ".encode()]
+    good, bad = (quality_classifier.dictionary([w * 300 for w in part]) for part in (words[:1], words[1:2]))
+    texts = [b"", b"x", words[0] * 40, words[1] * 9 + words[0] * 9, b"".join(words) * 500, bytes(range(128)), bytes(range(129))]
+    better, worse = (quality_classifier._compressor(x) for x in (good, bad))
+    for row, text in zip(quality_classifier.features(texts, good, bad), texts, strict=True):
+        if not text:
+            assert not row.any()
+            continue
+        sizes = lambda b: (len(better.compress(b)), len(worse.compress(b)))
+        differences = lambda b: [(sizes(b)[1] - sizes(b)[0]) / n for n in (len(b) + 40, sum(sizes(b)))]
+        whole = differences(text)
+        blocks = np.array([differences(text[k : k + 128]) for k in range(0, len(text), 128)])
+        expected = [whole[0], np.sign(whole[0]) * abs(whole[0]) ** 0.5, whole[1], *(np.quantile(blocks[:, c], p) for c in (0, 1) for p in quality_classifier.POINTS)]
+        assert np.allclose(row, expected, atol=1e-12)
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, "good words here " * 20, 1), (2, "$$ %% " * 40, 1), (3, None, 1), (4, "", 1), (1, "again", 1)], "doc_id long, text string, score int")
     labels = "doc_id long, quality int, toxic int"
