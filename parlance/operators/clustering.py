@@ -1,7 +1,7 @@
 """Clusters, maps and orders of sources and entities.
 
-Clusters work on rows of pairs (``graphs``). Where an order or a map needs a matrix, a group (the sources of a country)
-runs as one ``applyInPandas`` task of at most ``MAX_SIDE`` items, so groups run side by side and nothing is computed on
+Clusters and maps work on rows of pairs (``graphs``, ``scaling``). Where an order needs a matrix, a group (the sources of
+a country) runs as one ``applyInPandas`` task of at most ``MAX_SIDE`` items, so groups run side by side and nothing is computed on
 the driver.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import guarded_r, significance
 from ..session import materialize
-from . import graphs, kernels
+from . import graphs, kernels, scaling
 from .similarity import both_ways, pearson_pairs
 
 #: The distance of sources whose correlation is not known.
@@ -160,19 +160,12 @@ def mappable(cells: DataFrame, countries: DataFrame, breadth: int = 3, least: in
         sources = kept
 
 
-def source_map(cells: DataFrame, countries: DataFrame, breadth: int = 3, least: int = 10, least_pairs: int = 3, dimensions: int = 2) -> DataFrame:
-    """Positions of the ``mappable`` sources by weighted multidimensional scaling of 1 - r, in one task of at most ``kernels.MAX_SIDE`` sources."""
+def source_map(cells: DataFrame, countries: DataFrame, breadth: int = 3, least: int = 10, least_pairs: int = 3) -> DataFrame:
+    """(source_id, x, y, stress): positions of the ``mappable`` sources by weighted multidimensional scaling of 1 - r, over rows of pairs."""
     cells, pairs = mappable(cells, countries, breadth, least, least_pairs)
-    alone = cells.select(F.col("source_id").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("r"), F.lit(0).cast("long").alias("common")).distinct()
-    rows = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "r", "common").unionByName(alone)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        items, r, common = _square(rows)
-        x, stress = kernels.weighted_mds(1 - r, np.clip(common / 50, 0, 1), dimensions)
-        x = np.pad(x, ((0, 0), (0, max(0, 2 - x.shape[1]))))
-        return pd.DataFrame({"source_id": items, "x": x[:, 0], "y": x[:, 1], "stress": stress})
-
-    return rows.groupBy(F.lit("all")).applyInPandas(run, "source_id long, x double, y double, stress double")
+    items = cells.select(F.col("source_id").cast("long").alias("item")).distinct()
+    near = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (1 - F.col("r")).alias("d"), F.least(F.lit(1.0), F.col("common") / 50).alias("w"))
+    return scaling.stress_map(near, items).toDF("source_id", "x", "y", "stress")
 
 
 def seriation(cells: DataFrame, groups: DataFrame | None = None, least: int = 10) -> DataFrame:
