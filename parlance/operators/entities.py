@@ -86,6 +86,13 @@ def daily(mentions: DataFrame, entity_ids: list[int] | None = None, start: str |
     return summary(between(rows, start, end), key, "publish_date")
 
 
+def history(mentions: DataFrame, entity_id: int, as_of: str, days: int) -> DataFrame:
+    """Daily means of the last ``days`` days up to ``as_of``, and a row without a date over all of them, whose means are of mentions, not of days."""
+    last = F.lit(as_of).cast("date")
+    rows = mentions.where((F.col("entity_id") == entity_id) & (F.col("publish_date") > F.date_sub(last, days)) & (F.col("publish_date") <= last))
+    return rows.rollup("publish_date").agg(F.avg("power").alias("avg_power"), F.avg("moral").alias("avg_moral"), F.count("*").alias("mentions"), F.grouping("publish_date").cast("boolean").alias("overall"))
+
+
 def grouped_daily(mentions: DataFrame, entity_id: int, group: str = "country", least: int = 3, start: str | None = None, end: str | None = None) -> DataFrame:
     """Daily means by country or source with enough mentions a day, and each group's unweighted mean of days."""
     days = summary(between(mentions.where(F.col("entity_id") == entity_id), start, end), group, "publish_date", least=least)
@@ -136,6 +143,15 @@ def search(mentions: DataFrame, entities: DataFrame, query: str, limit: int = 15
     return rows.orderBy("tier", F.desc("mentions"), "name", "entity_id").limit(limit)
 
 
+def search_box(mentions: DataFrame, entities: DataFrame, query: str, limit: int = 15, short: int = 3, popular: int = 1000) -> DataFrame:
+    """``search``, in which queries of at most ``short`` characters look at the ``popular`` most mentioned entities (by id on a tie) and their aliases alone."""
+    if len(query) <= short:
+        counts = mentions.groupBy("entity_id").agg(F.count("*").alias("k"))
+        top = canonical(entities).join(counts, "entity_id", "left").orderBy(F.desc(F.coalesce("k", F.lit(0))), "entity_id").limit(popular).select(F.col("entity_id").alias("top_id"))
+        entities = entities.join(top, F.coalesce("canonical_id", "id") == F.col("top_id"), "left_semi")
+    return search(mentions, entities, query, limit)
+
+
 def merge_exact(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """For every entity the canonical one of its merge key, the normalised name in lower case: the most mentioned of the group, by id on a tie."""
     counts = mentions.groupBy(F.col("raw_id").alias("id")).agg(F.count("*").alias("mentions"))
@@ -222,3 +238,14 @@ def shortlist(documents: DataFrame, names: DataFrame, limit: int = 30) -> DataFr
 def rounded(rows: DataFrame) -> DataFrame:
     """All floating columns to 6 places."""
     return rows.select(*[r6(f"`{c}`").alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in rows.dtypes])
+
+
+def prune_stats(candidates: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """By type of the canonical entities: how many there are, how many ``prune_candidates`` names, their share and both kinds' mean mentions."""
+    counts = mentions.groupBy(F.col("raw_id").alias("id")).agg(F.count("*").alias("k"))
+    rows = entities.where("canonical_id IS NULL").select("id", "entity_type").join(counts, "id", "left").join(candidates.select("id", F.lit(True).alias("goes")), "id", "left")
+    goes, k = F.col("goes").isNotNull(), F.coalesce("k", F.lit(0)).cast("double")
+    return rows.groupBy("entity_type").agg(
+        F.count("*").alias("entities"), F.count_if(goes).alias("prunable"), (F.count_if(goes) * 100.0 / F.count("*")).alias("prunable_pct"),
+        F.avg(F.when(goes, k)).alias("avg_prunable"), F.avg(F.when(~goes, k)).alias("avg_kept"),
+    )

@@ -145,6 +145,26 @@ def decayed(mentions: DataFrame, entity_id: int, as_of: str, scale_days: float =
     return rows.groupBy(F.round(dimension, 6).alias("score")).agg(F.sum("copies").alias("copies"), F.count("*").alias("mentions"))
 
 
+def decayed_by(mentions: DataFrame, entity_id: int, as_of: str, key: str, scale_days: float = 14.0, dimension: str = "power", least: int = 3, top: int | None = None) -> DataFrame:
+    """By source or country: mentions, the latest score (of one day the greatest mention_id), and the mean and deviation of the ``decayed`` copies.
+
+    A group with fewer than ``least`` mentions is ``limited`` and has no mean. With ``top`` only that many groups of enough
+    mentions come, those with the most, by key on a tie.
+    """
+    rows = mentions.where((F.col("entity_id") == entity_id) & F.col(dimension).isNotNull() & F.col(key).isNotNull())
+    age = F.datediff(F.lit(as_of).cast("date"), "publish_date")
+    rows = rows.where(age >= 0).withColumn("copies", F.greatest(F.lit(1), F.bround(10 * F.exp(-age.cast("double") / scale_days), 0)).cast("long"))
+    value, copies = F.col(dimension), F.col("copies")
+    out = rows.groupBy(key).agg(
+        F.count("*").alias("mentions"), F.max_by(value, F.struct("publish_date", "mention_id")).alias("latest"),
+        F.sum(copies).alias("copies"), F.sum(value * copies).alias("s"), F.sum(value * value * copies).alias("ss"),
+    )
+    enough = F.col("mentions") >= least
+    mean = F.when(enough, F.col("s") / F.col("copies"))
+    out = out.select(key, "mentions", "latest", "copies", mean.alias("mean"), F.when(enough, F.sqrt(F.greatest(F.lit(0.0), F.round(F.col("ss") / F.col("copies") - mean * mean, 12)))).alias("deviation"), (~enough).alias("limited"))
+    return out if top is None else out.where("NOT limited").orderBy(F.desc("mentions"), key).limit(top)
+
+
 def density(mentions: DataFrame, entity_id: int, dimension: str = "moral", points: int = 121, layer: str | None = None, least: int = 5, bins: int = 0) -> DataFrame:
     """Gaussian kernel density on a grid over [-2, 2] (Scott's bandwidth), of all or by ``layer``.
 

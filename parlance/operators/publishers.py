@@ -47,6 +47,11 @@ def corpus_stats(articles: DataFrame, mentions: DataFrame) -> DataFrame:
     return a.withColumn("one", F.lit(1)).join(m.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def t2_range(t2: DataFrame) -> DataFrame:
+    """One row over articles' T2: how many have one, and the least, mean and greatest."""
+    return t2.agg(F.count("t2").alias("measured"), F.min("t2").alias("min_t2"), F.avg("t2").alias("avg_t2"), F.max("t2").alias("max_t2"))
+
+
 def status_audit(articles: DataFrame, mentions: DataFrame) -> DataFrame:
     """Articles whose status and mentions disagree, by status."""
     has = mentions.select("article_id").distinct().withColumn("has", F.lit(True))

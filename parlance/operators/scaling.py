@@ -84,7 +84,7 @@ def _classical(pairs: _Pairs, typical: float, dimensions: int) -> np.ndarray:
         size = float(np.linalg.norm(u))
         values, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))
         top = slice(None, -dimensions - 1, -1)
-        if size < 1e-12 or len(diagonal) >= dimensions and np.all(size * np.abs(vectors[-1, top]) < 1e-6 * max(1e-12, values[-1])):
+        if size < 1e-12 or len(diagonal) >= dimensions and np.all(size * np.abs(vectors[-1, top]) < 1e-3 * max(1e-12, values[-1])):
             break
         beside.append(size)
         basis.append(u / size)

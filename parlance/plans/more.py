@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..fixtures import SQL, TYPES, _sql_case
 from ..functions import text as T
-from ..operators import entities, ledger, lookups, merging, narrative, rollups, similarity, source_vectors, tracking
+from ..operators import entities, ledger, lookups, merging, narrative, publishers, rollups, similarity, source_vectors, tracking
 from ..session import shared_dir
 from ..sources import versions
 from ..streaming import jobs, leases
-from .queries import AVGS, COUNTRY, END, ENTITY, ORACLES, QUARTER, SERIES, SOURCE, YEAR, guarded, quarter_cells, query, r, source_series
+from .queries import AVGS, COUNTRY, END, ENTITY, ORACLES, QUARTER, SERIES, SOURCE, T2, YEAR, guarded, quarter_cells, query, r, source_series
 
 LABELS = [
     "Person", " political leader ", "political_leader", "Sovereign State", "people", "criminal_organization", "police_officer", "sports team", "Regional Bloc", "trade bloc", "tech company", "central bank",
@@ -80,7 +80,7 @@ def _(t):
 _MEANS = "SELECT entity_id, name, avg(moral) AS value FROM mentions JOIN entities ON id = entity_id WHERE moral IS NOT NULL AND {where} GROUP BY ALL"
 
 
-@query("baseline_match", f"""a AS ({_MEANS.format(where=f"source_id = {SOURCE}")}), b AS ({_MEANS.format(where=f"country = '{COUNTRY}' AND entity_id % 3 = 0")}), f AS ({_MEANS.format(where="entity_id % 3 <> 2")}),
+@query("baseline_match", f"""a AS ({_MEANS.format(where=f"source_id = {SOURCE}")}), b AS ({_MEANS.format(where=f"country = '{COUNTRY}' AND publish_date BETWEEN DATE '{END}' - 14 AND DATE '{END}'")}), f AS ({_MEANS.format(where=f"publish_date = DATE '{END}'")}),
 bn AS (SELECT lower(name) AS key, arg_min(value, entity_id) AS value FROM b GROUP BY lower(name))
 SELECT a.entity_id, a.name, {r('a.value')} AS value, {r('coalesce(b.value, bn.value, f.value)')} AS baseline, CASE WHEN b.value IS NOT NULL THEN 'id' WHEN bn.value IS NOT NULL THEN 'name' WHEN f.value IS NOT NULL THEN 'fallback' ELSE 'none' END AS matched
 FROM a LEFT JOIN b ON b.entity_id = a.entity_id LEFT JOIN bn ON bn.key = lower(a.name) LEFT JOIN f ON f.entity_id = a.entity_id""")
@@ -88,8 +88,9 @@ def _(t):
     names = t.entities.select(F.col("id").alias("entity_id"), "name")
     rows = t.mentions.where("moral IS NOT NULL")
     means = lambda where: rows.where(where).groupBy("entity_id").agg(F.avg("moral").alias("value")).join(names, "entity_id")
-    # three kinds of entities: with a baseline, with a fallback alone, with neither
-    return lookups.with_baseline(means(F.col("source_id") == SOURCE), means((F.col("country") == COUNTRY) & (F.col("entity_id") % 3 == 0)), means(F.col("entity_id") % 3 != 2))
+    # a country's last two weeks, which lack some entities, else the last day of all countries, which lacks others
+    recent = F.col("publish_date").between(F.date_sub(F.lit(END).cast("date"), 14), END)
+    return lookups.with_baseline(means(F.col("source_id") == SOURCE), means((F.col("country") == COUNTRY) & recent), means(F.col("publish_date") == END))
 
 
 _DAILY = "d AS (SELECT {key} AS key, publish_date AS day, avg(moral) AS value, count(*) AS n FROM mentions GROUP BY ALL), w AS (SELECT d.*, days FROM d, (SELECT unnest([7, 30, 90])::INT AS days) WHERE date_diff('day', day, DATE '" + QUARTER + "') BETWEEN 0 AND days - 1)"
@@ -394,3 +395,44 @@ def _(t):
     # a pattern, so that a table that is one file and one that is a folder are both read
     pages = t.spark.readStream.schema("page_id long, url string").parquet(f"{t.sf_dir}/page[s].parquet")
     return jobs.ingest_matched(pages, F.contains("url", F.lit("/en/")), "page_id", 100, f"{place}/rows", f"{place}/checkpoint")
+
+
+# summaries, short searches and comparisons ----------------------------------------------------------------------
+
+
+@query("historical_sentiment", f"""h AS (SELECT publish_date, power, moral FROM mentions WHERE entity_id = {ENTITY} AND publish_date > DATE '{END}' - 2000 AND publish_date <= DATE '{END}')
+SELECT publish_date, {AVGS}, false AS overall FROM h GROUP BY publish_date UNION ALL SELECT NULL, {AVGS}, true FROM h""")
+def _(t):
+    return entities.history(t.mentions, ENTITY, END, 2000)
+
+
+@query("short_search", """k AS (SELECT entity_id, count(*) AS k FROM mentions GROUP BY entity_id), top AS (SELECT id FROM entities LEFT JOIN k ON entity_id = id WHERE canonical_id IS NULL ORDER BY coalesce(k, 0) DESC, id LIMIT 1000),
+h AS (SELECT coalesce(canonical_id, id) AS entity_id, min(CASE WHEN starts_with(lower(name), 're') THEN 1 WHEN contains(lower(name), ' re') THEN 2 ELSE 3 END) AS tier FROM entities WHERE contains(lower(name), 're') AND coalesce(canonical_id, id) IN (FROM top) GROUP BY ALL)
+SELECT entity_id, tier, name, entity_type, coalesce(k, 0) AS mentions FROM h JOIN entities ON id = entity_id LEFT JOIN k USING (entity_id) ORDER BY tier, mentions DESC, name, entity_id LIMIT 15""")
+def _(t):
+    return entities.search_box(t.mentions, t.entities, "re")
+
+
+@query("corpus_t2_range", T2 + f" SELECT count(t2) AS measured, {r('min(t2)')} AS min_t2, {r('avg(t2)')} AS avg_t2, {r('max(t2)')} AS max_t2 FROM t2")
+def _(t):
+    return publishers.t2_range(rollups.article_hotelling_t2(t.mentions, rollups.weekly_moments(t.mentions, YEAR, END)))
+
+
+_PRUNED, _WHICH = ORACLES["entity_prune_candidates"].rsplit("SELECT id, name, mentions, threshold", 1)
+
+
+@query("prune_stats", f"""{_PRUNED}, p AS (SELECT id{_WHICH}), c AS (SELECT entity_type, coalesce(mentions, 0) AS k, p.id IS NOT NULL AS goes FROM entities LEFT JOIN s USING (id) LEFT JOIN p USING (id) WHERE canonical_id IS NULL)
+SELECT entity_type, count(*) AS entities, count(*) FILTER (WHERE goes) AS prunable, {r('count(*) FILTER (WHERE goes) * 100.0::DOUBLE / count(*)')} AS prunable_pct, {r('avg(k) FILTER (WHERE goes)')} AS avg_prunable, {r('avg(k) FILTER (WHERE NOT goes)')} AS avg_kept FROM c GROUP BY entity_type""", with_views=False)
+def _(t):
+    metadata = F.when(F.col("id") % 5 == 0, F.to_json(F.struct(F.lit("true").alias("preserve"))))
+    candidates = entities.prune_candidates(t.mentions, t.entities.withColumn("metadata", metadata), t.articles.select(F.col("scraped_at").alias("day")), END)
+    return entities.prune_stats(candidates, t.mentions, t.entities)
+
+
+for _key in ("country", "source_id"):
+
+    @query(f"decayed_by_{_key}", f"""d AS (SELECT {_key}, power, publish_date, mention_id, greatest(1, round_even(10 * exp(-date_diff('day', publish_date, DATE '{END}') / 90::DOUBLE), 0))::BIGINT AS copies FROM mentions WHERE entity_id = {ENTITY} AND publish_date <= '{END}' AND power IS NOT NULL AND {_key} IS NOT NULL),
+g AS (SELECT {_key}, count(*) AS mentions, arg_max(power, (publish_date, mention_id)) AS latest, sum(copies)::BIGINT AS copies, sum(power * copies) / sum(copies) AS mean, sum(power * power * copies) / sum(copies) AS square FROM d GROUP BY {_key})
+SELECT {_key}, mentions, {r('latest')} AS latest, copies, {r('CASE WHEN mentions >= 3 THEN mean END')} AS mean, {r('CASE WHEN mentions >= 3 THEN sqrt(greatest(0, round(square - mean * mean, 12))) END')} AS deviation, mentions < 3 AS limited FROM g{" WHERE mentions >= 3 ORDER BY mentions DESC, source_id LIMIT 10" if _key == "source_id" else ""}""")
+    def _(t, key=_key):
+        return narrative.decayed_by(t.mentions, ENTITY, END, key, 90.0, top=10 if key == "source_id" else None)
