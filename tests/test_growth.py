@@ -1,6 +1,7 @@
 """What keeps the work of a query in proportion to its input: plans, tasks and batches that do not grow faster."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -23,3 +24,34 @@ def test_polls_of_one_window_are_spread_over_its_days_once(spark):
     lines = plan(got).splitlines()
     spread = next(i for i, x in enumerate(lines) if "Generate explode" in x)
     assert "Aggregate" in lines[spread + 1]
+
+
+def test_neighbours_of_odd_vectors_meet_as_tiles(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    odd = [[1.0, 2.0], [2.0, 4.0], [0.0, 0.0], [-1.0, 2.0], None, [1.0, None], [3.0], [], [1.0, 2.0], [2.0, 1.0], [-1.0, -2.0], [1.0, 2.0, 3.0], [1e-9, 1.0]]
+    rows = [(i, v) for i, v in enumerate(odd)] + [(20 + i, [float(i % 7), 1.0 + i % 3]) for i in range(40)] + [(None, [1.0, 2.0]), (20, [5.0, 5.0])]
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return 0.0
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b)) / size, 6) + 0.0 if size else 0.0
+
+    def brute(rows, k):
+        asked = {i for i, _ in rows if i is not None and i % 3 == 0}
+        found = {q: sorted((-cosine(v, w), j) for i, v in rows if i == q for j, w in rows if j not in (q, None))[:k] for q in asked}
+        return sorted((q, j, -c + 0.0, r) for q, best in found.items() for r, (c, j) in enumerate(best, 1))
+
+    got = []
+    for tile in (7, 1000):
+        monkeypatch.setattr(similarity, "TILE", tile)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        near = similarity.cosine_neighbours(df, df.where("vec_id % 3 = 0").select("vec_id"), k=4, block=5)
+        assert sorted(map(tuple, near.collect())) == brute(rows, 4)
+        got.append(near)
+    # blocks meet tiles, so no row stands for a pair of vectors
+    assert "FlatMapCoGroupsInArrow" in plan(got[0])
+    df = spark.createDataFrame([(0, [nan, 1.0]), (1, [inf, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    near = similarity.cosine_neighbours(df, df.select("vec_id"), k=2).collect()
+    assert sorted((r["query"], r["vec_id"], r["rank"]) for r in near) == [(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2), (2, 0, 1), (2, 1, 2), (3, 0, 1), (3, 1, 2)]
+    assert all(math.isnan(r["cosine"]) for r in near)
