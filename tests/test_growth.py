@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from parlance.operators import similarity
+from parlance.operators import entities, similarity
 
 
 def plan(df):
@@ -55,3 +55,18 @@ def test_neighbours_of_odd_vectors_meet_as_tiles(spark, monkeypatch):
     near = similarity.cosine_neighbours(df, df.select("vec_id"), k=2).collect()
     assert sorted((r["query"], r["vec_id"], r["rank"]) for r in near) == [(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2), (2, 0, 1), (2, 1, 2), (3, 0, 1), (3, 1, 2)]
     assert all(math.isnan(r["cosine"]) for r in near)
+
+
+def test_words_of_a_shortlist_go_without_their_text(spark):
+    docs = spark.createDataFrame([(1, "The Party was big"), (1, "x art deco a party"), (2, "art decoration, ART DECO"), (None, "a small art deco"), (None, "a party deco art"), (3, None), (4, "")], "doc_id long, text string")
+    names = spark.createDataFrame([("Art deco", 5), ("party", 9), ("art", 9), ("", 1), ("big", None)], "name string, mentions long")
+    got = entities.shortlist(docs, names)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "art", 9, 1), (1, "party", 9, 2), (1, "art deco", 5, 3), (1, "big", None, 4), (2, "art", 9, 1), (2, "art deco", 5, 2), (None, "art", 9, 1), (None, "party", 9, 2), (None, "art deco", 5, 3)], key=str
+    )
+    # of rows alike in id and size, each answers for its own words
+    docs = spark.createDataFrame([(1, "a party b"), (1, "par ty ab")], "doc_id long, text string")
+    assert [tuple(r) for r in entities.shortlist(docs, spark.createDataFrame([("par", 1), ("party", 1)], "name string, mentions long")).select("name").collect()] == [("par",), ("party",)]
+    lines = plan(got).splitlines()
+    below = next(i for i, x in enumerate(lines) if "Generate explode" in x)
+    assert "lower(text" not in lines[below + 1].split("Project")[-1] or "AS text" not in lines[below + 1]
