@@ -23,7 +23,9 @@ def parse_results(lines: DataFrame, column: str = "value") -> tuple[DataFrame, D
         .when(F.col("r").isNull() | F.col("r.entities").isNull(), "content is not a result")
     )
     rows = rows.withColumn("reason", reason)
-    good = rows.where("reason IS NULL").select("article_id", F.col("r.source_country").alias("country"), F.explode("r.entities").alias("e"))
+    # no filter before the lines are parsed: it would parse each once more for every mention of it; names drop what is null
+    entities = F.explode_outer(F.when(F.col("reason").isNull(), F.col("r.entities")))
+    good = rows.select("article_id", F.col("r.source_country").alias("country"), entities.alias("e"))
     mentions = good.select(
         "article_id", "country", F.trim("e.entity").alias("name"), map_type("e.entity_type").alias("entity_type"), parse_score("e.power_score").alias("power"), parse_score("e.moral_score").alias("moral")
     )

@@ -6,6 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from parlance.operators import entities, similarity
+from parlance.sources import readers
 
 
 def plan(df):
@@ -70,3 +71,12 @@ def test_words_of_a_shortlist_go_without_their_text(spark):
     lines = plan(got).splitlines()
     below = next(i for i, x in enumerate(lines) if "Generate explode" in x)
     assert "lower(text" not in lines[below + 1].split("Project")[-1] or "AS text" not in lines[below + 1]
+
+
+def test_result_lines_are_parsed_once(spark):
+    good = '{"custom_id": "a", "response": {"status_code": 200, "body": {"choices": [{"message": {"content": "{\\"source_country\\": \\"X\\", \\"entities\\": [{\\"entity\\": \\" Y \\", \\"power_score\\": \\"1\\"}, null, {\\"entity\\": \\"\\"}]}"}}]}}}'
+    rows = [(good,), (good.replace("200", "500"),), ("no",), (None,), (good.replace("entities", "other"),)]
+    mentions, rejects = readers.parse_results(spark.createDataFrame(rows, "value string"))
+    assert [(r["article_id"], r["country"], r["name"], r["power"], r["moral"]) for r in mentions.collect()] == [("a", "X", "Y", 1.0, 0.0)]
+    assert sorted(r["reason"] for r in rejects.collect()) == ["content is not a result", "failed request", "not a result line", "not a result line"]
+    assert plan(mentions).count("from_json(") == 2
