@@ -29,48 +29,58 @@ class Leases(StatefulProcessor):
         self.state = handle.getValueState("lease", "begun long, failed int")
         self.history = handle.getListState("history", "begun long")
 
-    def _expired(self, key: tuple, begun: int, failed: int) -> tuple:
+    def _expired(self, key: tuple, begun: int, failed: int, history: list[int]) -> tuple:
         """The row of a lease that ran out; its attempts begin anew only by a completion."""
-        status = "retired" if failed >= self.most else "reset"
-        row = (key[0], status, begun + self.span, failed, [b for (b,) in self.history.get()])
-        self.state.update((-1, failed))
-        return row
+        return (key[0], "retired" if failed >= self.most else "reset", begun + self.span, failed, history[:])
 
     def _rows(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         stamp = lambda ms: pd.Timestamp(ms, unit="ms")
-        yield pd.DataFrame([(k, s, stamp(t), n, [stamp(b) for b in begun]) for k, s, t, n, begun in rows], columns=["user_id", "status", "at", "attempts", "begun"])
+        if rows:
+            yield pd.DataFrame([(k, s, stamp(t), n, [stamp(b) for b in begun]) for k, s, t, n, begun in rows], columns=["user_id", "status", "at", "attempts", "begun"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        begun, failed = self.state.get() if self.state.exists() else (-1, 0)
+        # state is read and written once a call, not once an event: every access is a round trip
+        stored = self.state.get() if self.state.exists() else None
+        begun, failed = opened, _ = stored or (-1, 0)
+        history = kept = [b for (b,) in self.history.get()] if stored else []
         out = []
-        seen = pd.concat(rows).sort_values(["ts", "event_id"])
-        for kind, ts in seen[["event_type", "ts"]].itertuples(index=False):
+        frames = [x.loc[x["event_type"].isin([self.begin, self.end]), ["ts", "event_id", "event_type"]] for x in rows]
+        seen = sorted(zip(*(pd.concat(frames)[c].tolist() for c in ("ts", "event_id", "event_type")), strict=True), key=lambda e: e[:2])
+        for ts, _, kind in seen:
             now = int(ts.timestamp() * 1000)
             if begun >= 0 and now - begun > self.span:
-                self.handle.deleteTimer(begun + self.span)
                 failed += 1
-                out.append(self._expired(key, begun, failed))
+                out.append(self._expired(key, begun, failed, history))
                 begun = -1
             if kind == self.begin and begun < 0 and failed < self.most:
                 begun = now
-                self.history.appendValue((begun,))
-                self.handle.registerTimer(begun + self.span)
+                history = [*history, begun]
             elif kind == self.end and begun >= 0:
-                self.handle.deleteTimer(begun + self.span)
-                out.append((key[0], "completed", now, failed + 1, [b for (b,) in self.history.get()]))
-                self.history.clear()
+                out.append((key[0], "completed", now, failed + 1, history))
+                history = []
                 begun, failed = -1, 0
-        if begun < 0 and failed == 0:
-            self.state.clear()
-        else:
+        if begun != opened:
+            if opened >= 0:
+                self.handle.deleteTimer(opened + self.span)
+            if begun >= 0:
+                self.handle.registerTimer(begun + self.span)
+        if history != kept:
+            if history:
+                self.history.put([(b,) for b in history])
+            else:
+                self.history.clear()
+        if (begun, failed) != (-1, 0):
             self.state.update((begun, failed))
+        elif stored:
+            self.state.clear()
         yield from self._rows(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         begun, failed = self.state.get() if self.state.exists() else (-1, 0)
         # a timer of a lease that has ended meanwhile says nothing
         if begun >= 0 and begun + self.span == expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._rows([self._expired(key, begun, failed + 1)])
+            self.state.update((-1, failed + 1))
+            yield from self._rows([self._expired(key, begun, failed + 1, [b for (b,) in self.history.get()])])
 
     def close(self) -> None:
         pass
@@ -88,5 +98,6 @@ def lease_attempts(rows: DataFrame, begin: str = "click", end: str = "purchase",
     ``at`` is when it was completed or ran out, ``attempts`` how many there were up to then, ``begun`` when each began.
     A lease still open when the watermark stands before its deadline has no row yet. Needs ``with_rocksdb``.
     """
-    watched = rows.withWatermark("ts", late).groupBy("user_id")
+    # the processor is handed all columns
+    watched = rows.select("event_id", "ts", "user_id", "event_type").withWatermark("ts", late).groupBy("user_id")
     return watched.transformWithStateInPandas(Leases(begin, end, hours, attempts), OUTPUT, "append", "EventTime")

@@ -3,10 +3,12 @@
 import datetime as dt
 import math
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from parlance.operators import entities, similarity
 from parlance.sources import readers
+from parlance.streaming import leases
 
 
 def plan(df):
@@ -80,3 +82,29 @@ def test_result_lines_are_parsed_once(spark):
     assert [(r["article_id"], r["country"], r["name"], r["power"], r["moral"]) for r in mentions.collect()] == [("a", "X", "Y", 1.0, 0.0)]
     assert sorted(r["reason"] for r in rejects.collect()) == ["content is not a result", "failed request", "not a result line", "not a result line"]
     assert plan(mentions).count("from_json(") == 2
+
+
+def test_leases_reach_their_state_once_a_call():
+    calls = []
+
+    class Store:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            if what.startswith("__"):
+                raise AttributeError(what)
+
+            def call(*args):
+                calls.append(what)
+                return False if what == "exists" else [] if self.name == "history" else None
+
+            return call
+
+    one = leases.Leases("click", "purchase")
+    one.handle, one.state, one.history = Store("handle"), Store("state"), Store("history")
+    at = pd.date_range("2024-01-01", periods=201, freq="min")
+    rows = pd.DataFrame({"ts": at, "event_id": range(201), "event_type": ["click", "purchase"] * 100 + ["click"]})
+    (out,) = one.handleInputRows((5,), iter([rows[100:], rows[:100]]), None)
+    assert list(out["status"]) == ["completed"] * 100 and list(out["attempts"]) == [1] * 100
+    assert sorted(calls) == ["exists", "put", "registerTimer", "update"]
