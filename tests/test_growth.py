@@ -6,7 +6,8 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
-from parlance.operators import entities, similarity
+from parlance import fixtures
+from parlance.operators import entities, rollups, similarity
 from parlance.sources import readers
 from parlance.streaming import leases
 
@@ -108,3 +109,18 @@ def test_leases_reach_their_state_once_a_call():
     (out,) = one.handleInputRows((5,), iter([rows[100:], rows[:100]]), None)
     assert list(out["status"]) == ["completed"] * 100 and list(out["attempts"]) == [1] * 100
     assert sorted(calls) == ["exists", "put", "registerTimer", "update"]
+
+
+def test_mentions_come_in_as_many_parts_as_their_rows_need(spark, small, monkeypatch):
+    def scored():
+        t = fixtures.News(spark, small)
+        return rollups.article_hotelling_t2(t.mentions, rollups.weekly_moments(t.mentions, "2000-08-01", "2001-08-01"))
+
+    whole = scored()
+    assert "RepartitionByExpression" not in plan(whole)
+    monkeypatch.setattr(fixtures, "PART_ROWS", 500)
+    dealt = scored()
+    parts = -(-spark.read.parquet(f"{small}/lineitem.parquet").count() // 500)
+    assert parts > 4 and f", {parts}\n" in plan(dealt)
+    rows = lambda df: sorted((r["article_id"], round(r["t2"], 6), r["entities"]) for r in df.collect())
+    assert rows(dealt) == rows(whole) and whole.count()
