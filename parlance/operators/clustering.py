@@ -214,7 +214,9 @@ def topic_clusters(counts: DataFrame, mentions: DataFrame, entities: DataFrame,
     mean share over all pairs of members, 0 for those that never met) and name: its first two persons by id, or else
     organizations, countries, or any.
     """
-    sizes = mentions.groupBy("entity_id").agg(F.count_distinct("article_id").alias("k"), F.count("*").alias("n")).where(F.col("n") >= mentioned)
+    # by article first, as the pairs are: rows that come dealt by article stay where they are
+    each = mentions.groupBy("entity_id", "article_id").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("entity_id").agg(F.count("article_id").alias("k"), F.sum("n").alias("n")).where(F.col("n") >= mentioned)
     sizes = materialize(sizes.select("entity_id", "k"), "sizes")
     shares = counts.join(sizes.toDF("a", "k_a"), "a").join(sizes.toDF("b", "k_b"), "b")
     shares = materialize(shares.select("a", "b", (F.col("together") / F.least("k_a", "k_b")).alias("share")), "shares")
