@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from parlance import fixtures
+from parlance.functions import text
 from parlance.operators import entities, rollups, similarity
 from parlance.sources import readers
 from parlance.streaming import leases
@@ -124,3 +125,11 @@ def test_mentions_come_in_as_many_parts_as_their_rows_need(spark, small, monkeyp
     assert parts > 4 and f", {parts}\n" in plan(dealt)
     rows = lambda df: sorted((r["article_id"], round(r["t2"], 6), r["entities"]) for r in df.collect())
     assert rows(dealt) == rows(whole) and whole.count()
+
+
+def test_pages_reach_a_worker_by_the_hundred(spark):
+    pages = [(1, "<title>T</title><article>a <b>b</b></article><time datetime='2024-01-02'>"), (2, None), (3, ""), (4, "<body>x &amp; y<script>z"), (5, "<time>" + "<p>w" * 3)]
+    got = spark.createDataFrame(pages, "page_id long, html string").select("page_id", text.html_article("html").alias("h")).select("page_id", "h.title", "h.text", "h.published")
+    assert sorted(map(tuple, got.collect())) == [(k, *text.extract_article(html)) for k, html in pages]
+    # an Arrow batch has up to ten thousand pages, of any length; a page is read once for its three columns
+    assert plan(got).count("BatchEvalPython [") == 1 and "ArrowEvalPython" not in plan(got)
