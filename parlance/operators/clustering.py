@@ -86,7 +86,7 @@ def weekly_similarity(cells: DataFrame, last_week: str, weeks: int = 4, value: s
     first = F.date_sub(last, 7 * (weeks - 1))
     within = cells.where(F.col("period_start").between(first, last) & F.col(value).isNotNull())
     merged = within.groupBy("source_id", "entity_id").agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n"))
-    rows = materialize(_grouped_pairs(merged, None, least), "pairs")
+    rows = materialize(_grouped_pairs(materialize(merged, "cells"), None, least), "pairs")
     pairs, items = rows.where("b IS NOT NULL"), rows.where("b IS NULL").select("grp", F.col("a").alias("item"))
     clusters, _ = graphs.average_linkage(pairs.select("grp", "a", "b", (1 - F.col("r") * significance("common")).alias("d")), items, 1 - threshold, UNKNOWN)
     begin, end = first.cast("timestamp"), F.date_add(last, 7).cast("timestamp") - F.make_dt_interval(secs=F.lit(1))
@@ -117,8 +117,9 @@ def monthly_clusters(pairs: DataFrame, sources: DataFrame, first: int = 5, least
     second = ranked.where("tier = 2").select(F.col("country").alias("grp"), F.col("source_id").alias("item"), "left")
     a, b = (second.select("grp", F.col("item").alias(x), F.col("left").alias(f"left_{x}")) for x in ("a", "b"))
     known = pairs.where("r IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "r").join(a, "a").join(b, ["grp", "b"])
+    known = materialize(known.select("grp", "a", "b", "r", "left_a"), "known")  # ``pairs`` may stand for all mentions: they are computed once
     enough = known.groupBy("grp", "left_a").agg(F.count("*").alias("k")).where("k >= left_a * (left_a - 1) / 2 * 0.5").select("grp")
-    known = materialize(known.join(enough, "grp", "left_semi").select("grp", "a", "b", "r"), "known")
+    known = known.join(enough, "grp", "left_semi").select("grp", "a", "b", "r")
     items = second.join(enough, "grp", "left_semi").select("grp", "item")
     near = known.select("grp", "a", "b", (1 - F.col("r")).alias("d"))
     found, _ = graphs.average_linkage(near, items, height, 1.0)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from parlance import fixtures
 from parlance.functions import text
-from parlance.operators import entities, rollups, similarity
+from parlance.operators import clustering, entities, rollups, similarity
+from parlance.plans import queries
 from parlance.sources import readers
 from parlance.streaming import leases
 
@@ -133,3 +134,34 @@ def test_pages_reach_a_worker_by_the_hundred(spark):
     assert sorted(map(tuple, got.collect())) == [(k, *text.extract_article(html)) for k, html in pages]
     # an Arrow batch has up to ten thousand pages, of any length; a page is read once for its three columns
     assert plan(got).count("BatchEvalPython [") == 1 and "ArrowEvalPython" not in plan(got)
+
+
+def counted(df):
+    """``df``, and a count of the rows that are computed of it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    return df.mapInPandas(run, df.schema), seen
+
+
+def test_what_pairs_are_made_of_is_computed_once(spark, small):
+    edges = [(a, b, 0.9 if a % 2 == b % 2 else 0.1, 20) for a in range(6) for b in range(a)] + [(7, 8, None, 3)]
+    pairs, seen = counted(spark.createDataFrame(edges, "a long, b long, r double, common long"))
+    sources = spark.createDataFrame([(s, "x", 10 - s) for s in range(6)], "source_id long, country string, articles long")
+    found, quality = clustering.monthly_clusters(pairs, sources)
+    assert sorted((r["source_id"], r["cluster_id"], r["similarity"]) for r in found.collect()) == [(s, f"x_cluster_{s % 2}", 0.9) for s in range(6)]
+    assert [(r["country"], r["clusters"]) for r in quality.collect()] == [("x", 2)]
+    assert seen.value == len(edges)
+    day = dt.date(2024, 2, 5)
+    rows = [(s, e, day, float((e * 7 + s) % 5), 1) for s in range(3) for e in range(12)]
+    cells, seen = counted(spark.createDataFrame(rows, "source_id long, entity_id long, period_start date, mean_moral double, n long"))
+    stored, clusters = clustering.weekly_similarity(cells, "2024-02-05")
+    assert stored.count() == 3 and clusters.count() == 3 and seen.value == len(rows)
+    # the queries' pairs are joined from written cells, not from the mentions
+    t = fixtures.News(spark, small)
+    cells = queries.similarity_cells(t)
+    assert "l_orderkey" not in plan(similarity.pearson_pairs(cells)) and sorted(cells.collect()) == sorted(rollups.window_cells(queries.quarter_cells(t), queries.WINDOW).collect())
